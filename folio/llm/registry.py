@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .line_dedup import op7_line_dedup
+from .near_dedup import op10_near_dedup
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op10_near_dedup": op10_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
