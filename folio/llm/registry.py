@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontaminate import op1_decontamination
 from .line_dedup import op7_line_dedup
 from .near_dedup import op10_near_dedup
+from .records import op4_token_records
+from .sharding import op6_sharding
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op10_near_dedup": op10_near_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op10_near_dedup": op10_near_dedup, "op4_token_records": op4_token_records, "op6_sharding": op6_sharding}
 ORACLE_SQL: dict[str, str] = {}
