@@ -32,4 +32,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    # All edges lead to the least of their component by now.
+    leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return written(leaves.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "cc")

@@ -29,13 +29,20 @@ FACTORS = _rng.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + n
 OFFSETS = _rng.integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
 #: Buckets of up to so many members have all their pairs compared in the first round.
 SMALL = 6
-
-
-def signature(s: np.ndarray, step: int = 4096) -> np.ndarray:
-    """(FUNCTIONS, 2) uint32: the least and the largest value of each hash function over the set."""
-    low, high = np.full(FUNCTIONS, 2**32 - 1, np.uint32), np.zeros(FUNCTIONS, np.uint32)
+#: The later rounds compare bits of BIT_FUNCTIONS further functions, one of each least and one of each largest hash, before
+#: full sets. Bits of two sets of similarity s agree with chance (1 + s) / 2; a pair is passed on up to SIGMAS standard
+#: deviations beyond the expected difference at the wanted similarity, so that about one linked pair in 1e6 is missed.
+BIT_FUNCTIONS, WORDS, SIGMAS = 1024, 32, 5
+BIT_FACTORS = _rng.integers(1, 2**63, BIT_FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BIT_OFFSETS = _rng.integers(0, 2**63, BIT_FUNCTIONS, dtype=np.uint64)
+
+
+def signature(s: np.ndarray, factors: np.ndarray = FACTORS, offsets: np.ndarray = OFFSETS) -> np.ndarray:
+    """(functions, 2) uint32: the least and the largest value of each hash function over the set."""
+    low, high = np.full(len(factors), 2**32 - 1, np.uint32), np.zeros(len(factors), np.uint32)
+    step = 300_000 // len(factors)
     for k in range(0, len(s), step):
-        v = ((s[None, k : k + step] * FACTORS[:, None] + OFFSETS[:, None]) >> np.uint64(32)).astype(np.uint32)
+        v = ((s[None, k : k + step] * factors[:, None] + offsets[:, None]) >> np.uint64(32)).astype(np.uint32)
         np.minimum(low, v.min(axis=1), out=low)
         np.maximum(high, v.max(axis=1), out=high)
     return np.stack([low, high], axis=1)
@@ -46,6 +53,16 @@ def band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(r.tobytes(), seed=k) - 2**63 for k, r in enumerate(rows)]
 
 
+def signature_bits(s: np.ndarray) -> np.ndarray:
+    return np.packbits((signature(s, BIT_FACTORS, BIT_OFFSETS) & np.uint32(1)).astype(np.uint8).ravel()).view(np.int64)
+
+
+def most_different(percent: int) -> int:
+    """Bits in which sets of that similarity differ at most, but for one pair in 1e6 or so."""
+    n, p = 2 * BIT_FUNCTIONS, (1 - percent / 100) / 2
+    return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5)
+
+
 def _sketches(width: int):
     def run(batches):
         for b in batches:
@@ -68,6 +85,12 @@ def _sets(width: int):
     return run
 
 
+def _bits(batches):
+    for b in batches:
+        w = np.array([signature_bits(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(1)]).reshape(-1, WORDS)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(w[:, k]) for k in range(WORDS))], ["id", *(f"w{k}" for k in range(WORDS))])
+
+
 def _confirmed(percent: int):
     def run(batches):
         for b in batches:
@@ -96,15 +119,17 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     # The ids are broadcast only where they are few; else both sides are shuffled.
     sets = written(d.join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "dedup-sets")
-    found = joined = None
-    tested = None
+    words = [f"w{k}" for k in range(WORDS)]
+    found = joined = tested = bits = None
     pivots = 1
     active = buckets.withColumn("component", F.col("id")).withColumn("degree", F.lit(0).cast("long"))
     while True:
         order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64("id", "key"))
         lead = active.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= pivots) | ((F.col("rank") <= SMALL) & (F.col("size") <= SMALL)))
-        lead = written(lead.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")), "dedup-pivots")
+        lead = written(lead.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *(F.col(w).alias(f"pivot_{w}") for w in words if bits)), "dedup-pivots")
         near = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("id") != F.col("pivot")) & (F.col("component") != F.col("pivot_component"))
+        if bits:
+            near &= sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot_{w}"))) for w in words), F.lit(0)) <= most_different(percent)
         pairs = active.join(lead, "key").where(near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -113,18 +138,23 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
         full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         new = written(full.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "dedup-links")
         found = new if found is None else found.unionByName(new)
-        joined = written(components(new if joined is None else new.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))), "dedup-components")
-        # What is left: buckets with members of two components at least, without the pivots that met all of them.
-        rest = (buckets if pivots == 1 else active.select("id", "n", "key", "size")).where(F.col("size") > SMALL).join(lead.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
+        if joined is None or not new.isEmpty():
+            joined = components(new if joined is None else new.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        # What is left: large buckets with members of two components at least, without the pivots, which met all of them.
+        rest = active.select("id", "n", "key", "size", *(words if bits else [])).where(F.col("size") > SMALL).join(lead.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
         degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        rest = rest.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
-        rest = written(rest.select("id", "n", "key", "size", "component", "degree"), "dedup-active")
-        several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("small"), F.max("n").alias("large")).where("low < high").select("key")
-        active = written(rest.join(several, "key"), "dedup-active")
+        rest = rest.join(joined.join(degree, "id", "left"), "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
+        rest = written(rest, "dedup-active")
+        several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        active = rest.join(several, "key")
+        if bits is None:
+            bits = active.select("id").distinct().join(sets, "id").mapInArrow(_bits, "id long, " + ", ".join(f"{w} long" for w in words))
+            active = active.join(bits, "id")
+        active = written(active, "dedup-active")
         remove(docs.sparkSession, rest)
         if active.isEmpty():
             return joined
-        pivots = 2 if pivots == 1 else 4 * pivots
+        pivots *= 64
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
