@@ -14,6 +14,9 @@ either the whole file or none. The writer and the reader use pyarrow's file syst
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, partitions, table
+from .grams import batch_of
 
 MASK = 0xA282EAD8
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n_ids", "<u8")])
@@ -58,42 +62,60 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file. The file's splitting rule is context free, so the ids of a piece never change;
-    those of the pieces seen last are kept."""
+    """Ids of texts by a tokenizers file, without its special tokens.
 
-    def __init__(self, file: str, keep: int = 1 << 18):
+    Byte-level BPE splits a text before it merges, and never merges across a single space between two characters that are
+    no white space. So the ids of what lies between such spaces don't depend on the rest of the text: they are worked out
+    once and kept. Texts with other white space at a space, or with a special token's string, and files of other kinds are
+    encoded whole.
+    """
+
+    def __init__(self, file: str, keep: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(file), keep, {}
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = None
-        import json
-
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-            import regex
-
-            # The published splitting rule of byte-level BPE (a fixed value).
-            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.split is None or any(x in text for x in self.special):
-            return np.array(self.whole(text), np.uint32)
-        pieces, known = self.split(text), self.known
-        new = {p for p in pieces if p not in known}
-        if new:
-            if len(known) > self.keep:
-                known.clear()
-                new = set(pieces)
-            new = list(new)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        self.special = [x["content"] for x in spec.get("added_tokens") or []]
+        self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        size = 1 + max(self.tokenizer.get_vocab().values())
+        # Byte-level vocabularies write a space as this letter: such tokens begin a piece.
+        self.begins = np.zeros(size, bool)
+        self.begins[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
+        self.odd = re.compile(r"\s\s").search
+
+    def _learn(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
+            joined = [" " + " ".join(part[i : i + 1000]) for i in range(0, len(part), 1000)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            at = np.flatnonzero(self.begins[ids]) * 4
+            if len(at) != len(part):
+                raise ValueError("the pieces of a text were not encoded apart")
+            data = ids.tobytes()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(data)])), strict=True))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers."""
+        plain = [bool(self.apart and x and not self.odd(x) and not x[0].isspace() and not x[-1].isspace() and not any(s in x for s in self.special)) for x in texts]
+        # The first piece has no space before it, so it is encoded on its own.
+        pieces = [x.split(" ") if p else [] for x, p in zip(texts, plain, strict=True)]
+        rest = {q for x in pieces for q in x[1:]}
+        new = rest.difference(self.known)
+        if len(self.known) + len(new) > self.keep:  # what these texts need is what comes again most
+            self.known = {q: self.known[q] for q in rest - new}
+        self._learn(list(new))
+        first = iter([e.ids for e in self.tokenizer.encode_batch_fast([x[0] for x in pieces if x], add_special_tokens=False)])
+        get = self.known.__getitem__
+        out = []
+        for x, p, text in zip(pieces, plain, texts, strict=True):
+            out.append(np.array(next(first), np.uint32).tobytes() + b"".join(map(get, x[1:])) if p else self.whole(text) if text else b"")
+        return out
 
 
 def _write(path: str, file: str | None, end_id: int):
@@ -103,19 +125,19 @@ def _write(path: str, file: str | None, end_id: int):
         encode = None
         data = index = None
         at = n = tokens = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        end = struct.pack("<I", end_id)
+        for b in batch_of(batches, 1):
             if encode is None:
                 encode = Encoder(file)
                 data = system.open_output_stream(f"{root}/.{attempt}.records")
                 index = system.open_output_stream(f"{root}/.{attempt}.index")
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text), np.uint32(end_id)) if text else np.array([end_id], np.uint32)
-                r = frame(ids.astype("<u4").tobytes())
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            for d, ids in zip(b.column(0).to_pylist(), encode(texts), strict=True):
+                ids += end
+                r = frame(ids)
                 data.write(r)
-                index.write(np.array([(d or 0, d is None, at, len(ids))], INDEX).tobytes())
-                at, n, tokens = at + len(r), n + 1, tokens + len(ids)
+                index.write(np.array([(d or 0, d is None, at, len(ids) // 4)], INDEX).tobytes())
+                at, n, tokens = at + len(r), n + 1, tokens + len(ids) // 4
         if data is not None:
             data.close()
             index.close()
@@ -138,7 +160,7 @@ def write_records(docs: DataFrame, path: str, file: str, end_id: int = 0, shards
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # xxhash64 tells rows of one doc_id apart, so that a much repeated id is dealt over several files.
     order = ["doc_id", F.xxhash64("text")]
-    d = d.repartitionByRange(shards or 4 * partitions(spark), *order).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    d = d.repartitionByRange(shards or 2 * partitions(spark), *order).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     parts = d.mapInArrow(_write(path, file, end_id), "shard long, n_docs long, n_ids long").collect()  # a row a file
     rows, start = [], 0
     for r in sorted(parts, key=lambda r: r.shard):
