@@ -1,6 +1,6 @@
 """Token ids as length-delimited binary records.
 
-A data file is a run of records, each the ids of one document as little-endian unsigned 32-bit integers, framed as
+A data file is a run of records, each the ids of one document as little-endian unsigned integers, framed as
 
     length (uint64) | masked checksum of length (uint32) | payload | masked checksum of payload (uint32)
 
@@ -8,6 +8,8 @@ The checksum is CRC-32; masking rotates it right by 15 bits and adds a constant,
 checksums stay sound. Beside each data file lies an index: one (doc_id int64, null flag uint8, offset uint64, n_ids uint64)
 entry a record, for reads in any order. Files follow each other in ascending doc_id order.
 
+Integers have 16 bits where the vocabulary has at most 65536 ids, else 32; the index tells which, as it has the count.
+
 A task writes its file under a name of its own attempt and then renames it, so a task that runs again or twice leaves
 either the whole file or none. The writer and the reader use pyarrow's file systems, which take file, hdfs, s3 and gs paths.
 """
@@ -81,6 +83,7 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
         self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
         size = 1 + max(self.tokenizer.get_vocab().values())
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # Byte-level vocabularies write a space as this letter: such tokens begin a piece.
         self.begins = np.zeros(size, bool)
         self.begins[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
@@ -90,18 +93,18 @@ class Encoder:
         for k in range(0, len(pieces), 20_000):
             part = pieces[k : k + 20_000]
             joined = [" " + " ".join(part[i : i + 1000]) for i in range(0, len(part), 1000)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-            at = np.flatnonzero(self.begins[ids]) * 4
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            at = np.flatnonzero(self.begins[ids]) * self.kind.itemsize
             if len(at) != len(part):
                 raise ValueError("the pieces of a text were not encoded apart")
             data = ids.tobytes()
             self.known.update(zip(part, map(data.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(data)])), strict=True))
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers."""
+        """The ids of each text as integers of the kind `self.kind`."""
         plain = [bool(self.apart and x and not self.odd(x) and not x[0].isspace() and not x[-1].isspace() and not any(s in x for s in self.special)) for x in texts]
         # The first piece has no space before it, so it is encoded on its own.
         pieces = [x.split(" ") if p else [] for x, p in zip(texts, plain, strict=True)]
@@ -114,7 +117,7 @@ class Encoder:
         get = self.known.__getitem__
         out = []
         for x, p, text in zip(pieces, plain, texts, strict=True):
-            out.append(np.array(next(first), np.uint32).tobytes() + b"".join(map(get, x[1:])) if p else self.whole(text) if text else b"")
+            out.append(np.array(next(first), self.kind).tobytes() + b"".join(map(get, x[1:])) if p else self.whole(text) if text else b"")
         return out
 
 
@@ -125,10 +128,10 @@ def _write(path: str, file: str | None, end_id: int):
         encode = None
         data = index = None
         at = n = tokens = 0
-        end = struct.pack("<I", end_id)
         for b in batch_of(batches, 1):
             if encode is None:
                 encode = Encoder(file)
+                end, width = np.array([end_id], encode.kind).tobytes(), encode.kind.itemsize
                 data = system.open_output_stream(f"{root}/.{attempt}.records")
                 index = system.open_output_stream(f"{root}/.{attempt}.index")
             texts = [x or "" for x in b.column(1).to_pylist()]
@@ -136,8 +139,8 @@ def _write(path: str, file: str | None, end_id: int):
                 ids += end
                 r = frame(ids)
                 data.write(r)
-                index.write(np.array([(d or 0, d is None, at, len(ids) // 4)], INDEX).tobytes())
-                at, n, tokens = at + len(r), n + 1, tokens + len(ids) // 4
+                index.write(np.array([(d or 0, d is None, at, len(ids) // width)], INDEX).tobytes())
+                at, n, tokens = at + len(r), n + 1, tokens + len(ids) // width
         if data is not None:
             data.close()
             index.close()
@@ -184,8 +187,10 @@ def _read(path: str):
                         f.seek(first)
                         data = memoryview(f.read(last - first))
                         ids = [unframe(data, int(x["offset"]) - first)[0] for x in part]
-                        if any(len(p) != 4 * int(x["n_ids"]) for p, x in zip(ids, part, strict=True)):
+                        width = len(ids[0]) // int(part["n_ids"][0])  # a text has its end id at least
+                        if width not in (2, 4) or any(len(p) != width * int(x["n_ids"]) for p, x in zip(ids, part, strict=True)):
                             raise ValueError(f"the index of shard {shard} doesn't fit its records")
+                        ids = [np.frombuffer(p, f"<u{width}").astype("<u4").tobytes() for p in ids]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(part["doc_id"], pa.int64(), mask=part["null"].astype(bool)), pa.array(begin[lo : lo + 1000], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"]
                         )
@@ -194,7 +199,7 @@ def _read(path: str):
 
 
 def read_records(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids binary) of each record: read through the index, checksums verified."""
+    """(doc_id, start, ids binary, 32 bits each) of each record: read through the index, checksums verified."""
     m = manifest.select("shard", "start").repartition(max(1, min(manifest.count(), 4 * partitions(spark))))
     return m.mapInArrow(_read(path), "doc_id long, start long, ids binary")
 
