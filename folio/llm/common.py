@@ -62,3 +62,15 @@ def fold(doc_id: Column, mod: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = 5) -> DataFrame:
+    """(doc_id, text, label): at most `most` labelled documents of either label, the first by a hash of the id, of the
+    folds other than 0. Rows without id or label teach nothing; of several labels of one id the largest counts."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    picked = None
+    for v in (0, 1):
+        part = known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
+        picked = part if picked is None else picked.unionByName(part)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * most rows

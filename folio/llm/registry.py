@@ -7,8 +7,10 @@ from .line_dedup import op7_line_dedup
 from .mixing import op2_mixing
 from .near_dedup import op10_near_dedup
 from .ppm import op9_lm_scoring
+from .quality import op3_quality
 from .records import op4_token_records
 from .sharding import op6_sharding
+from .toxicity import op5_toxicity
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op10_near_dedup": op10_near_dedup, "op4_token_records": op4_token_records, "op6_sharding": op6_sharding, "op9_lm_scoring": op9_lm_scoring, "op2_mixing": op2_mixing}
+QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op10_near_dedup": op10_near_dedup, "op4_token_records": op4_token_records, "op6_sharding": op6_sharding, "op9_lm_scoring": op9_lm_scoring, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_toxicity": op5_toxicity}
 ORACLE_SQL: dict[str, str] = {}
