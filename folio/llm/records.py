@@ -16,10 +16,11 @@ either the whole file or none. The writer and the reader use pyarrow's file syst
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 
@@ -72,21 +73,21 @@ class Encoder:
     encoded whole.
     """
 
-    def __init__(self, file: str, keep: int = 400_000):
+    def __init__(self, file: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(file), keep, {}
-        with open(file, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
-        size = 1 + max(self.tokenizer.get_vocab().values())
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        t = self.tokenizer = Tokenizer.from_file(file)
+        self.keep, self.known = keep, {}
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        pre = t.pre_tokenizer
+        self.apart = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and t.normalizer is None and isinstance(t.model, models.BPE)
+        vocab = t.get_vocab()
+        size = 1 + max(vocab.values())
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # Byte-level vocabularies write a space as this letter: such tokens begin a piece.
         self.begins = np.zeros(size, bool)
-        self.begins[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
+        self.begins[[i for x, i in vocab.items() if x.startswith("\u0120")]] = True
         self.odd = re.compile(r"\s\s").search
 
     def _learn(self, pieces: list[str]) -> None:
@@ -121,6 +122,14 @@ class Encoder:
         return out
 
 
+def encoder(file: str) -> Encoder:
+    """The encoder of this worker process; what it has learned serves all tasks that the process runs."""
+    kept = sys.modules.setdefault("_folio_worker", types.ModuleType("_folio_worker"))
+    if getattr(kept, "file", None) != file:
+        kept.file, kept.encoder = file, Encoder(file)
+    return kept.encoder
+
+
 def _write(path: str, file: str | None, end_id: int):
     def run(batches):
         k, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -128,9 +137,9 @@ def _write(path: str, file: str | None, end_id: int):
         encode = None
         data = index = None
         at = n = tokens = 0
-        for b in batch_of(batches, 1):
+        for b in batch_of(batches, 1, 1 << 20):
             if encode is None:
-                encode = Encoder(file)
+                encode = encoder(file)
                 end, width = np.array([end_id], encode.kind).tobytes(), encode.kind.itemsize
                 data = system.open_output_stream(f"{root}/.{attempt}.records")
                 index = system.open_output_stream(f"{root}/.{attempt}.index")
@@ -163,7 +172,7 @@ def write_records(docs: DataFrame, path: str, file: str, end_id: int = 0, shards
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # xxhash64 tells rows of one doc_id apart, so that a much repeated id is dealt over several files.
     order = ["doc_id", F.xxhash64("text")]
-    d = d.repartitionByRange(shards or 2 * partitions(spark), *order).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    d = d.repartitionByRange(shards or partitions(spark), *order).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     parts = d.mapInArrow(_write(path, file, end_id), "shard long, n_docs long, n_ids long").collect()  # a row a file
     rows, start = [], 0
     for r in sorted(parts, key=lambda r: r.shard):
