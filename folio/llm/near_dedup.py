@@ -2,8 +2,8 @@
 
 Each hash function gives two signature values, the least and the largest hash of the set, so half as many functions are
 evaluated. Documents with equal shingle sets are one class from the start; only one of each class goes on. A band is three
-functions (six values); classes that share a band meet in a bucket. At similarity 0.85 the chance that a pair shares none
-of 24 bands is about 1e-5.
+functions (six values); classes that share a band meet in a bucket. There are so many bands that a pair at the wanted
+similarity shares none with a chance of 1e-5 (26 bands at 0.85).
 
 No bucket is expanded into all its pairs. Its members are compared with a few pivots, the shared full sets decide, and the
 links found so far are joined into components: pairs already connected need no comparison. Buckets that still hold more
@@ -13,6 +13,8 @@ been compared. No candidate is dropped.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,21 +25,28 @@ from .common import remove, table, written
 from .components import components
 from .shingles import shingle_set
 
-FUNCTIONS, PER_BAND = 72, 3
+PER_BAND, MISSED = 3, 1e-5
 _rng = np.random.default_rng(20240607)
-FACTORS = _rng.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _rng.integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
 #: Buckets of up to so many members have all their pairs compared in the first round.
 SMALL = 6
 #: The later rounds compare bits of BIT_FUNCTIONS further functions, one of each least and one of each largest hash, before
 #: full sets. Bits of two sets of similarity s agree with chance (1 + s) / 2; a pair is passed on up to SIGMAS standard
 #: deviations beyond the expected difference at the wanted similarity, so that about one linked pair in 1e6 is missed.
 BIT_FUNCTIONS, WORDS, SIGMAS = 1024, 32, 5
-BIT_FACTORS = _rng.integers(1, 2**63, BIT_FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BIT_OFFSETS = _rng.integers(0, 2**63, BIT_FUNCTIONS, dtype=np.uint64)
+BIT_FACTORS, BIT_OFFSETS = (_rng.integers(0, 2**63, BIT_FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def bands_for(percent: int) -> int:
+    return max(1, math.ceil(math.log(MISSED) / math.log(1 - min(0.999, percent / 100) ** (2 * PER_BAND))))
 
 
-def signature(s: np.ndarray, factors: np.ndarray = FACTORS, offsets: np.ndarray = OFFSETS) -> np.ndarray:
+def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of n hash functions, always the same."""
+    r = np.random.default_rng(7)
+    return r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, n, dtype=np.uint64)
+
+
+def signature(s: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(functions, 2) uint32: the least and the largest value of each hash function over the set."""
     low, high = np.full(len(factors), 2**32 - 1, np.uint32), np.zeros(len(factors), np.uint32)
     step = 300_000 // len(factors)
@@ -49,7 +58,7 @@ def signature(s: np.ndarray, factors: np.ndarray = FACTORS, offsets: np.ndarray
 
 
 def band_keys(sig: np.ndarray) -> list[int]:
-    rows = sig.reshape(FUNCTIONS // PER_BAND, PER_BAND * 2)
+    rows = sig.reshape(-1, PER_BAND * 2)
     return [xxhash.xxh3_64_intdigest(r.tobytes(), seed=k) - 2**63 for k, r in enumerate(rows)]
 
 
@@ -63,7 +72,9 @@ def most_different(percent: int) -> int:
     return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5)
 
 
-def _sketches(width: int):
+def _sketches(width: int, bands_wanted: int):
+    factors, offsets = functions(bands_wanted * PER_BAND)
+
     def run(batches):
         for b in batches:
             keys, n, bands = [], [], []
@@ -71,7 +82,7 @@ def _sketches(width: int):
                 s = shingle_set(text.as_py(), width)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 n.append(len(s))
-                bands.append(band_keys(signature(s)) if len(s) else None)
+                bands.append(band_keys(signature(s, factors, offsets)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "set_key", "n", "bands"])
 
     return run
@@ -121,15 +132,18 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
     sets = written(d.join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "dedup-sets")
     words = [f"w{k}" for k in range(WORDS)]
     found = joined = tested = bits = None
+    held: list[str] = []  # further columns of the rows, from the second round on
     pivots = 1
     active = buckets.withColumn("component", F.col("id")).withColumn("degree", F.lit(0).cast("long"))
     while True:
         order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64("id", "key"))
         lead = active.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= pivots) | ((F.col("rank") <= SMALL) & (F.col("size") <= SMALL)))
-        lead = written(lead.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *(F.col(w).alias(f"pivot_{w}") for w in words if bits)), "dedup-pivots")
+        lead = written(lead.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *(F.col(w).alias(f"pivot_{w}") for w in held)), "dedup-pivots")
         near = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("id") != F.col("pivot")) & (F.col("component") != F.col("pivot_component"))
         if bits:
             near &= sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot_{w}"))) for w in words), F.lit(0)) <= most_different(percent)
+            # A pair is compared in the first bucket that both are in, and there only.
+            near &= F.array_position(F.zip_with("bands", "pivot_bands", lambda x, y: x == y), F.lit(True)) == F.array_position("bands", F.col("key"))
         pairs = active.join(lead, "key").where(near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -141,7 +155,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
         if joined is None or not new.isEmpty():
             joined = components(new if joined is None else new.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))))
         # What is left: large buckets with members of two components at least, without the pivots, which met all of them.
-        rest = active.select("id", "n", "key", "size", *(words if bits else [])).where(F.col("size") > SMALL).join(lead.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
+        rest = active.select("id", "n", "key", "size", *held).where(F.col("size") > SMALL).join(lead.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
         degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
         rest = rest.join(joined.join(degree, "id", "left"), "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
         rest = written(rest, "dedup-active")
@@ -149,7 +163,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
         active = rest.join(several, "key")
         if bits is None:
             bits = active.select("id").distinct().join(sets, "id").mapInArrow(_bits, "id long, " + ", ".join(f"{w} long" for w in words))
-            active = active.join(bits, "id")
+            active = active.join(bits, "id").join(classes.select("id", "bands"), "id")
+            held = [*words, "bands"]
         active = written(active, "dedup-active")
         remove(docs.sparkSession, rest)
         if active.isEmpty():
@@ -166,7 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     document: repeated rows give equal rows. Further columns of docs are left out.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketch = written(narrow.mapInArrow(_sketches(width), "doc_id long, set_key binary, n long, bands array<long>"), "dedup-sketch")
+    sketch = written(narrow.mapInArrow(_sketches(width, bands_for(percent)), "doc_id long, set_key binary, n long, bands array<long>"), "dedup-sketch")
     # One row a set: the bands are those of any document that has it.
     classes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "dedup-classes")
