@@ -208,8 +208,11 @@ def perplexity_rules(docs: DataFrame, order: int = ORDER, lower: float = 8.0, up
     counts = written(counts, "kn-counts")
     model = written(model_table(counts, order), "kn-model")
     if model.count() <= most_rows:
-        m = model.toPandas()
-        models = {(None if isinstance(k, float) else k): G.Lookup(x["key"].to_numpy(np.int64), x["value"].to_numpy(np.float32)) for k, x in m.groupby("lang", dropna=False)}
+        # Languages travel as numbers: a row takes 16 bytes on the driver.
+        langs = [r.lang for r in model.select("lang").distinct().orderBy("lang").collect()]
+        number = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(x)), k) for k, x in enumerate(langs)], F.lit(-1)) if langs else F.lit(0)
+        lang, key, value = G.fetched(model.select(number.cast("int").alias("lang"), "key", "value"), [np.int32, np.int64, np.float32])
+        models = {x: G.Lookup(key[lang == k], value[lang == k]) for k, x in enumerate(langs)}
         out = d.mapInArrow(_score(order, spark.sparkContext.broadcast(models)), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, total double")
     else:
         out = _by_join(d, model, order)
