@@ -67,13 +67,13 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
 class Encoder:
     """Ids of texts by a tokenizers file, without its special tokens.
 
-    Byte-level BPE splits a text before it merges, and never merges across a single space between two characters that are
-    no white space. So the ids of what lies between such spaces don't depend on the rest of the text: they are worked out
-    once and kept. Texts with other white space at a space, or with a special token's string, and files of other kinds are
-    encoded whole.
+    Byte-level BPE splits a text before it merges. Between characters that are no white space it always splits before a
+    single space and around a single line feed, and before a comma or full stop after a letter or digit. So the ids of what
+    lies between such places don't depend on the rest of the text: they are worked out once and kept. Texts with runs of
+    white space, or with a special token's string, and files of other kinds are encoded whole.
     """
 
-    def __init__(self, file: str, keep: int = 250_000):
+    def __init__(self, file: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -88,38 +88,51 @@ class Encoder:
         # Byte-level vocabularies write a space as this letter: such tokens begin a piece.
         self.begins = np.zeros(size, bool)
         self.begins[[i for x, i in vocab.items() if x.startswith("\u0120")]] = True
-        self.odd = re.compile(r"\s\s").search
+        # White space other than spaces and line feeds; a comma or full stop that follows neither a letter nor a digit.
+        self.rare = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.marks = re.compile(r"[,.](?<![^\W_][,.])").search
 
     def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
-            joined = [" " + " ".join(part[i : i + 1000]) for i in range(0, len(part), 1000)]
+        spaced = [x for x in pieces if x[:1] == " "]
+        rest = [x for x in pieces if x[:1] != " "]
+        for k in range(0, len(spaced), 20_000):
+            part = spaced[k : k + 20_000]
+            joined = ["".join(part[i : i + 1000]) for i in range(0, len(part), 1000)]
             ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
             at = np.flatnonzero(self.begins[ids]) * self.kind.itemsize
             if len(at) != len(part):
                 raise ValueError("the pieces of a text were not encoded apart")
             data = ids.tobytes()
             self.known.update(zip(part, map(data.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(data)])), strict=True))
+        for k in range(0, len(rest), 5000):
+            part = rest[k : k + 5000]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[x] = np.array(e.ids, self.kind).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as integers of the kind `self.kind`."""
-        plain = [bool(self.apart and x and not self.odd(x) and not x[0].isspace() and not x[-1].isspace() and not any(s in x for s in self.special)) for x in texts]
-        # The first piece has no space before it, so it is encoded on its own.
-        pieces = [x.split(" ") if p else [] for x, p in zip(texts, plain, strict=True)]
-        rest = {q for x in pieces for q in x[1:]}
-        new = rest.difference(self.known)
-        if len(self.known) + len(new) > self.keep:  # what these texts need is what comes again most
-            self.known = {q: self.known[q] for q in rest - new}
+        pieces = [self._pieces(x) or [] for x in texts]
+        found = [list(map(self.known.get, p)) for p in pieces]
+        missing = [(p, f, [i for i, v in enumerate(f) if v is None]) for p, f in zip(pieces, found, strict=True) if None in f]
+        new = {p[i] for p, _, at in missing for i in at}
+        if len(self.known) + len(new) > self.keep:  # what these texts have in it is what comes again most
+            self.known = {q: v for p, f in zip(pieces, found, strict=True) for q, v in zip(p, f, strict=True) if v is not None}
         self._learn(list(new))
-        first = iter([e.ids for e in self.tokenizer.encode_batch_fast([x[0] for x in pieces if x], add_special_tokens=False)])
-        get = self.known.__getitem__
-        out = []
-        for x, p, text in zip(pieces, plain, texts, strict=True):
-            out.append(np.array(next(first), self.kind).tobytes() + b"".join(map(get, x[1:])) if p else self.whole(text) if text else b"")
-        return out
+        for p, f, at in missing:
+            for i in at:
+                f[i] = self.known[p[i]]
+        return [b"".join(f) if f else self.whole(x) if x else b"" for f, x in zip(found, texts, strict=True)]
+
+    def _pieces(self, x: str) -> list[str] | None:
+        if not self.apart or not x or any(r in x for r in ("  ", " \n", "\n ", "\n\n")) or self.rare(x) or x[0].isspace() or x[-1].isspace() or any(s in x for s in self.special):
+            return None
+        marked = x.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not self.marks(x):
+            marked = marked.replace(",", "\0,").replace(".", "\0.")
+        return marked.split("\0")
 
 
 def encoder(file: str) -> Encoder:
@@ -137,7 +150,7 @@ def _write(path: str, file: str | None, end_id: int):
         encode = None
         data = index = None
         at = n = tokens = 0
-        for b in batch_of(batches, 1, 1 << 20):
+        for b in batch_of(batches, 1):
             if encode is None:
                 encode = encoder(file)
                 end, width = np.array([end_id], encode.kind).tobytes(), encode.kind.itemsize
