@@ -120,7 +120,7 @@ def object_name(title: Column, path: Column, kind: Column) -> Column:
 
 
 def scopes(title: Column, body: Column) -> Column:
-    found = F.regexp_extract_all(F.concat(title, F.lit("\n"), F.substring(body, 1, 1000)), F.lit(r"(?i)\b(global|scoped)\b"), F.lit(1))
+    found = F.regexp_extract_all(F.concat(title, F.lit("\n"), F.substring(body, 1, 1000)), F.lit(r"(?i)(?<!\w)(global|scoped)(?!\w)"), F.lit(1))
     return F.array_distinct(F.transform(found, F.initcap))
 
 

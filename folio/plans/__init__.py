@@ -1,0 +1 @@
+"""Logical plans that combine operators: ingestion and hybrid search."""
