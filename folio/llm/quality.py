@@ -123,9 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000):
     free = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select(F.lit(-1).alias("label"), "text")  # 2 * most ids at most
     rows = written(known.unionByName(free), "quality-sample").mapInArrow(_features, "label int, x array<float>").toArrow()
     y = rows.column("label").to_numpy()
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), -1)
     if not (y == 1).any() or not (y == -1).any():
         return None, prior
+    x = np.array(rows.column("x").to_pylist(), np.float64)
     net = Network(x[y == 1], x[y == -1], min(0.98, max(0.02, prior)))
     scale = None
     if (y == 0).any():

@@ -83,7 +83,7 @@ def balanced_shards(docs: DataFrame, group: Column, tie: list[Column], shards: i
 
     Rows with an equal `group` are linked (a null group links its rows too); `tie` columns order the rows of a group. Rows
     equal in all of these, repeated rows for instance, are separate members. An empty table gives an empty table; columns
-    of docs called shard or slot are replaced.
+    of docs called shard or slot are replaced. docs is read twice and must give the same rows both times.
     """
     spark = docs.sparkSession
     buckets = 8 * partitions(spark)

@@ -94,9 +94,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000):
 
     counts = sample.where("half").select("label", "text").mapInArrow(split, "label int, word binary").groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
     counts = written(counts, "toxic-words")
-    usual = [bytes(r.word) for r in counts.orderBy(F.desc("ordinary"), "word").limit(ORDINARY).collect()]
     odds = (F.col("toxic") / F.lit(n[1, True])) / ((F.col("ordinary") + 0.5) / F.lit(n[0, True]))
-    telling = counts.where((F.col("toxic") >= max(LEAST, SHARE * n[1, True])) & (odds > ODDS)).orderBy(F.desc("toxic"), "word").limit(TOXIC_BYTES // 4)
+    told = (F.col("toxic") >= max(LEAST, SHARE * n[1, True])) & (odds > ODDS)
+    telling = counts.where(told).orderBy(F.desc("toxic"), "word").limit(TOXIC_BYTES // 4)
+    # What only toxic texts hold must not stand among the ordinary words, however few these are.
+    usual = [bytes(r.word) for r in counts.where(~told & (F.col("ordinary") > 0)).orderBy(F.desc("ordinary"), "word").limit(ORDINARY).collect()]
     d = Dictionaries(b"".join(usual[::-1]), b"".join(bytes(r.word) for r in telling.collect()[::-1]))
     rest = sample.where("not half").select("label", "text").mapInArrow(_features(d), "label int, x array<double>").toPandas()  # at most 2 * most rows
     y = rest["label"].to_numpy(float)

@@ -148,9 +148,9 @@ def labelled(spark):
             w[r.randrange(60)] = "vilewordtwo"
         t = " ".join(w) if good else " ".join(x + r.choice(["###", "$$$", "|||"]) for x in w)
         rows.append((k, t))
-        if k % 2:
+        if k % 3 == 0:
             labels.append((k, int(good), int(toxic)))
-        elif k % 10 == 0:
+        elif k % 10 == 1:
             labels.append((k, None, int(toxic)))
     return frame(spark, rows), spark.createDataFrame([*labels, (None, 1, 1), (5, 1, 1)], "doc_id long, quality int, toxic int"), {k: (g, t) for k, g, t in labels}
 
@@ -254,8 +254,8 @@ def test_shards(docs, n, rows):
         assert len({r.shard for r in s if r.text == rows[75][1]}) == 1
 
 
-def test_more_shards_than_rows_and_none(spark, docs, empty):
-    s = sharding.balanced_shards(docs.limit(5), F.lit(1), [F.col("doc_id")], shards=8).collect()
+def test_more_shards_than_rows_and_none(spark, rows, empty):
+    s = sharding.balanced_shards(frame(spark, rows[:5]), F.lit(1), [F.col("doc_id")], shards=8).collect()
     assert sorted(collections.Counter(r.shard for r in s).values()) == [1] * 5
     assert sharding.balanced_shards(empty, F.col("text"), [F.col("doc_id")], shards=4).count() == 0
     hot = spark.range(1000).withColumn("text", F.when(F.col("id") < 700, "x").otherwise(F.col("id").cast("string")))
