@@ -60,6 +60,16 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(0))
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound the Arrow batches of this session by bytes, so that long texts don't add up: a task holds two or so at once.
+
+    A setting of the user's own stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "64m"):
+        spark.conf.set(name, most)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import table, written
+from .common import bounded_batches, table, written
 from .ppm import Level
 
 ORDER = 4
@@ -203,6 +203,7 @@ def perplexity_rules(docs: DataFrame, order: int = ORDER, lower: float = 8.0, up
     model up to which it is broadcast; beyond, grams are joined with it: it changes no result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     counts = d.select("lang", "text").mapInArrow(_count(order), "lang string, key long, n_train long").groupBy("lang", "key").agg(F.sum("n_train").alias("n_train"))
     counts = written(counts, "kn-counts")

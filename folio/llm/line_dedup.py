@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import bounded_batches, partitions, table, written
 
 PROBES = 4
 NO_ID = 2**63 - 1  # stands for a null doc_id: the last document of all
@@ -130,6 +130,7 @@ def repeated_lines(docs: DataFrame, least: int = 10, filter_bytes: int = 1 << 28
     doc_id is NO_ID for null ids. `filter_bytes` bounds what is broadcast, not what is found.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     segments = 4 * partitions(spark)
     narrow = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     hashes = narrow.select("text").mapInArrow(_hashes(least, segments), "segment int, hashes binary, again binary")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, table, written
+from .common import bounded_batches, remove, table, written
 from .components import components
 from .shingles import shingle_set
 
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     nothing by itself: it takes the component of the documents with its set, else null. Rows that share a doc_id are one
     document: repeated rows give equal rows. Further columns of docs are left out.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketch = written(narrow.mapInArrow(_sketches(width, bands_for(percent)), "doc_id long, set_key binary, n long, bands array<long>"), "dedup-sketch")
     # One row a set: the bands are those of any document that has it.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as G
-from .common import fold, table, written
+from .common import bounded_batches, fold, table, written
 
 ORDER = 5
 pa = G.pa
@@ -186,6 +186,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, most_rows:
     which tables are broadcast; it changes no result (null ids give rows of id 0 in the join).
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("binary").alias("text"))
     counts = written(G.summed(d.select("text", "train").mapInArrow(_count(order), "kind int, key long, n_train long, n_all long"), ["kind", "key"]), "ppm-counts")
     words = counts.where(F.col("kind") == WORD)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, table, written
+from .common import bounded_batches, fold, labelled_sample, table, written
 from .toxicity import Logistic
 
 _CLASS = np.full(256, 7, np.uint8)  # letters beyond ASCII
@@ -114,6 +114,7 @@ def _features(batches):
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000):
     """(Model, prior) from at most `most` labelled texts of either label and 2 * `most` unlabelled ones, the first by a hash
     of their ids. Without positives or unlabelled texts: (None, prior); the prior is 0.5 without any label."""
+    bounded_batches(docs.sparkSession)
     n = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).agg(F.count(F.lit(1)), F.sum(F.col("quality").cast("int"))).first()
     prior = n[1] / n[0] if n[0] else 0.5
     known = labelled_sample(docs, labels, "quality", most).select("label", "text")
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000):
     y = rows.column("label").to_numpy()
     if not (y == 1).any() or not (y == -1).any():
         return None, prior
-    x = np.array(rows.column("x").to_pylist(), np.float64)
+    x = rows.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(y), -1)
     net = Network(x[y == 1], x[y == -1], min(0.98, max(0.02, prior)))
     scale = None
     if (y == 0).any():

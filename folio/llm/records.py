@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, table
+from .common import bounded_batches, fresh_path, partitions, table
 from .grams import batch_of
 
 MASK = 0xA282EAD8
@@ -180,6 +180,7 @@ def write_records(docs: DataFrame, path: str, file: str, end_id: int = 0, shards
     alone, repeated rows are records of their own, an empty table writes no file. Further columns are left out.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     system, root = place(path)
     system.create_dir(root, recursive=True)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

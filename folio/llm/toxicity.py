@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, table, written
+from .common import bounded_batches, fold, labelled_sample, table, written
 
 WINDOW = 8
 #: Words in the ordinary dictionary; least odds of, and least share of toxic texts with, a word of the toxic one; its bytes.
@@ -81,6 +81,7 @@ class Logistic:
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000):
     """(Dictionaries, Logistic) from at most `most` labelled texts of either kind: two thirds of them give the contents,
     the rest the thresholds. Without texts of both kinds, the share of toxic ones and no model."""
+    bounded_batches(docs.sparkSession)
     sample = written(labelled_sample(docs, labels, "toxic", most), "toxic-sample").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) > 0)
     n = {(r.label, r.half): r["count"] for r in sample.groupBy("label", "half").count().collect()}
     if len(n) < 4:
