@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, partitions, table, written
 
 PROBES = 4
+SALTS = 32  # tasks that the documents of one key are dealt over, at most
 NO_ID = 2**63 - 1  # stands for a null doc_id: the last document of all
 
 
@@ -137,8 +138,11 @@ def repeated_lines(docs: DataFrame, least: int = 10, filter_bytes: int = 1 << 28
     twice = hashes.groupBy("segment").applyInArrow(_filters(filter_bytes, segments), "segment int, bits int, twice binary")
     filters = spark.sparkContext.broadcast([(r.segment, r.bits, bytes(r.twice)) for r in twice.collect()])  # filter_bytes at most
     suspects = written(narrow.mapInArrow(_suspects(filters, segments, least), "doc_id long, text_key long, key binary, lines array<int>"), "line-suspects")
-    keepers = suspects.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).where("keeper < _last").drop("_last")
-    lost = suspects.join(keepers, "key").where("doc_id <> keeper")
+    # A key is dealt over SALTS tasks by document; its parts' smallest and largest ids are brought together, and go back out.
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    keepers = parts.groupBy("key").agg(F.min("low").alias("keeper"), F.max("high").alias("last"), F.collect_list("salt").alias("salts")).where("keeper < last")
+    lost = salted.join(keepers.select("key", "keeper", F.explode("salts").alias("salt")), ["key", "salt"]).where("doc_id <> keeper")
     return lost.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("lines")).alias("dropped"))
 
 
