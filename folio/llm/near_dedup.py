@@ -137,7 +137,9 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
     active = buckets.withColumn("component", F.col("id")).withColumn("degree", F.lit(0).cast("long"))
     while True:
         order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64("id", "key"))
-        lead = active.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= pivots) | ((F.col("rank") <= SMALL) & (F.col("size") <= SMALL)))
+        # Of a large bucket, each task passes `pivots` rows on at most; all members of a small one are pivots.
+        lead = active.where(F.col("size") > SMALL).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank")
+        lead = lead.unionByName(active.where(F.col("size") <= SMALL)) if bits is None else lead
         lead = written(lead.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *(F.col(w).alias(f"pivot_{w}") for w in held)), "dedup-pivots")
         near = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("id") != F.col("pivot")) & (F.col("component") != F.col("pivot_component"))
         if bits:
