@@ -136,7 +136,7 @@ def _one_field(spark, d, query_text: str, phrase: bool = True) -> DataFrame:
     t = docs(spark, d).withColumnRenamed("doc_id", "id")
     q = spark.createDataFrame([(0, query_text)], "query_id int, text string")
     length = fulltext.lengths(t, fields)
-    return fulltext.bm25(fulltext.postings(t, fields), length, fulltext.statistics(length), q, fields)
+    return fulltext.bm25(fulltext.postings(t, fields, only=q), length, fulltext.statistics(length), q, fields)
 
 
 @query(_bm25_sql(["reheon"], True) + " SELECT id, round(score, 6) AS score FROM r")
@@ -220,7 +220,8 @@ def hybrid_rows(spark, d, text: str, limit: int = 20) -> DataFrame:
     v = v.select("id", "release", "doc_type", "publication", "chunk_type", "topic_type", raw.alias("embedding"))
     fields = {"title": 10.0, "content": 1.0}
     q = [float(x) for x in hash_vector(text, DIMS)]
-    return search(c, v, fulltext.postings(c, fields), fulltext.lengths(c, fields), text, q, limit=limit)
+    asked = spark.createDataFrame([(0, text)], "query_id int, text string")
+    return search(c, v, fulltext.postings(c, fields, only=asked), fulltext.lengths(c, fields), text, q, limit=limit)
 
 
 @query()
