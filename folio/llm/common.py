@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,7 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/folio/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of this application that goes when the driver ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/folio/{spark.sparkContext.applicationId}"
+    if root not in _to_remove:
+        _to_remove.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+_to_remove: set[str] = set()
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
