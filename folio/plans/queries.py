@@ -440,3 +440,83 @@ def embedding_order(spark, d):
     """The order by length in which a language's texts are embedded."""
     w = Window.partitionBy("lang").orderBy(F.length("text"), "doc_id")
     return docs(spark, d).select("doc_id", "lang", F.length("text").cast("bigint").alias("n"), F.row_number().over(w).cast("bigint").alias("place"))
+
+
+_API_DOC = """---
+title: Record API - Scoped
+---
+# Record API
+
+Reads records.
+
+## Record - addFilter(String field)
+
+Adds a filter.
+
+|Name|Type|Description|
+|----|----|-----------|
+|field|String|A field|
+
+|Type|Description|
+|----|-----------|
+|Condition|Added|
+
+```js
+## Fake - no()
+```
+
+## Record - run()
+
+Runs.
+"""
+_TOPIC_DOC = "---\nproduct: P\n---\n# T\n\nintro\n\n## One\n\nfirst\n\n## Two\n\nsecond\n"
+_GLOSSARY_DOC = "# G\n\n### alpha\nfirst letter\n\n### beta\nsecond\nletter\n"
+
+
+def _chunked(spark, path: str, text: str) -> DataFrame:
+    s = spark.createDataFrame([(path, "sha", text)], "path string, blob_sha string, content string")
+    return chunk_rows(parse(s, "main", "rel"))
+
+
+@query("""SELECT * FROM (VALUES (0, 'overview', 'Record API', NULL), (1, 'method', 'Record', 'addFilter'), (2, 'parameter', 'Record', 'addFilter'), (3, 'returns', 'Record', 'addFilter'), (4, 'example', 'Record', 'addFilter'),
+  (5, 'method', 'Record', 'run')) AS t(chunk_index, chunk_type, object_name, method_name)""")
+def chunk_api_doc(spark, d):
+    return _chunked(spark, "markdown/api-reference/server-api-reference/c_RecordAPI.md", _API_DOC).select("chunk_index", "chunk_type", "object_name", "method_name")
+
+
+@query("""SELECT * FROM (VALUES (0, 'overview', NULL, 'Title: T' || chr(10) || 'Product: P' || chr(10) || 'Release: rel' || chr(10) || chr(10) || '# T' || chr(10) || chr(10) || 'intro'),
+  (1, 'section', 'One', 'Title: T' || chr(10) || 'Section: One' || chr(10) || 'Product: P' || chr(10) || 'Release: rel' || chr(10) || chr(10) || 'first'),
+  (2, 'section', 'Two', 'Title: T' || chr(10) || 'Section: Two' || chr(10) || 'Product: P' || chr(10) || 'Release: rel' || chr(10) || chr(10) || 'second')) AS t(chunk_index, chunk_type, heading, content)""")
+def chunk_topic_doc(spark, d):
+    return _chunked(spark, "markdown/product/t.md", _TOPIC_DOC).select("chunk_index", "chunk_type", "heading", "content")
+
+
+@query("""SELECT * FROM (VALUES (0, 'definition', 'alpha', 'first letter'), (1, 'definition', 'beta', 'second letter')) AS t(chunk_index, chunk_type, heading, meaning)""")
+def chunk_glossary(spark, d):
+    return _chunked(spark, "markdown/glossary/g.md", _GLOSSARY_DOC).select("chunk_index", "chunk_type", "heading", F.get_json_object("metadata", "$.definition").alias("meaning"))
+
+
+@query("""WITH n AS (SELECT doc_id, lang, length("text") AS n, row_number() OVER (PARTITION BY lang ORDER BY length("text"), doc_id) - 1 AS place FROM documents)
+  SELECT lang, CAST(place // 32 AS BIGINT) AS batch, count(*) AS size, max(n) AS longest FROM n GROUP BY ALL""")
+def embedding_batches(spark, d):
+    """Batches of 32 texts of like length, so that little is padded."""
+    w = Window.partitionBy("lang").orderBy(F.length("text"), "doc_id")
+    n = docs(spark, d).select("lang", F.length("text").cast("bigint").alias("n"), F.floor((F.row_number().over(w) - 1) / 32).cast("bigint").alias("batch"))
+    return n.groupBy("lang", "batch").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("longest"))
+
+
+@query()
+def hybrid_search_many(spark, d):
+    """The benchmark's texts as queries over documents, all in one plan."""
+    from ..functions.hashing import hash_vector
+    from .search import search_many
+
+    c = chunks(spark, d)
+    counts = bucket_counts(c, "id", "content", DIMS).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)).cast("double"))
+    v = c.join(counts, "id", "left").select("id", "release", "doc_type", "publication", "chunk_type", "topic_type", raw.alias("embedding"))
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id % 20 = 0").select("item_id", F.substring_index("text", " ", 6).alias("text")).collect()  # the query set
+    q = spark.createDataFrame([(r.item_id, r.text, [float(x) for x in hash_vector(r.text, DIMS)]) for r in asked], "query_id long, text string, embedding array<double>")
+    fields = {"title": 10.0, "content": 1.0}
+    found = search_many(c, v, fulltext.postings(c, fields, only=q), fulltext.lengths(c, fields), q, limit=5)
+    return found.select("query_id", "rank", "id", "source_path", F.round("score", 9).alias("score"))
