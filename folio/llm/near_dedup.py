@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs without the documents whose component is kept through another; of repeated rows one stays."""
+    """docs without the documents whose component is kept through another; of repeated rows one stays.
+    Rows without an id have no component of their own to go by, so they all stay, but for repeated ones."""
     lost = near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
     return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti").dropDuplicates(["doc_id", "text"])
 
