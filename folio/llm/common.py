@@ -50,8 +50,13 @@ def _remove(spark: SparkSession, root: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder; it outlives any executor."""
+def written(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Cut the lineage with a table in the shared folder; it outlives any executor.
+
+    `narrow` tables are small against the input: an eighth of the shuffle partitions writes them, in as many files.
+    """
+    if narrow:
+        df = df.coalesce(max(16, partitions(df.sparkSession) // 8))
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

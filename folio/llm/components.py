@@ -23,10 +23,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) between ids -> (id, component): the least id that is reachable, for every id in a link to another."""
-    edges = written(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "cc")
+    edges = written(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "cc", narrow=True)
     seen = None
     while True:
-        after = written(_star(_star(edges, True), False), "cc")
+        after = written(_star(_star(edges, True), False), "cc", narrow=True)
         remove(edges.sparkSession, edges)
         edges = after
         now = tuple(edges.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -35,4 +35,4 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     # All edges lead to the least of their component by now.
     leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return written(leaves.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "cc")
+    return written(leaves.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "cc", narrow=True)

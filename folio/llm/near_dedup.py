@@ -126,7 +126,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
     rows = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(rows.join(shared, "key"), "dedup-buckets")
-    ids = written(buckets.select("id").distinct(), "dedup-ids")
+    ids = written(buckets.select("id").distinct(), "dedup-ids", narrow=True)
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     # The ids are broadcast only where they are few; else both sides are shuffled.
     sets = written(d.join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "dedup-sets")
@@ -140,7 +140,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
         # Of a large bucket, each task passes `pivots` rows on at most; all members of a small one are pivots.
         lead = active.where(F.col("size") > SMALL).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank")
         lead = lead.unionByName(active.where(F.col("size") <= SMALL)) if bits is None else lead
-        lead = written(lead.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *(F.col(w).alias(f"pivot_{w}") for w in held)), "dedup-pivots")
+        lead = written(lead.select("key", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *(F.col(w).alias(f"pivot_{w}") for w in held)), "dedup-pivots", narrow=True)
         near = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("id") != F.col("pivot")) & (F.col("component") != F.col("pivot_component"))
         if bits:
             near &= sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot_{w}"))) for w in words), F.lit(0)) <= most_different(percent)
@@ -149,10 +149,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
         pairs = active.join(lead, "key").where(near).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "dedup-pairs")
+        pairs = written(pairs, "dedup-pairs", narrow=True)
         tested = pairs if tested is None else tested.unionByName(pairs)
         full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        new = written(full.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "dedup-links")
+        new = written(full.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long").distinct(), "dedup-links", narrow=True)
         found = new if found is None else found.unionByName(new)
         if joined is None or not new.isEmpty():
             joined = components(new if joined is None else new.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))))
@@ -160,14 +160,14 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
         rest = active.select("id", "n", "key", "size", *held).where(F.col("size") > SMALL).join(lead.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
         degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
         rest = rest.join(joined.join(degree, "id", "left"), "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
-        rest = written(rest, "dedup-active")
+        rest = written(rest, "dedup-active", narrow=True)
         several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         active = rest.join(several, "key")
         if bits is None:
             bits = active.select("id").distinct().join(sets, "id").mapInArrow(_bits, "id long, " + ", ".join(f"{w} long" for w in words))
             active = active.join(bits, "id").join(classes.select("id", "bands"), "id")
             held = [*words, "bands"]
-        active = written(active, "dedup-active")
+        active = written(active, "dedup-active", narrow=True)
         remove(docs.sparkSession, rest)
         if active.isEmpty():
             return joined
