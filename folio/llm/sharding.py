@@ -1,26 +1,27 @@
-"""Balanced label propagation: documents into shards of counts at most one apart, linked ones together.
+"""Balanced shards of linked documents: counts at most one apart, each group in one shard where it can be.
 
-Documents are linked through a shared group key (equal texts, here); a group is a hyperedge, so no pairs are made. A
-document starts in a shard by hash. In each round a group's members vote, members outside the shard with most votes ask to
-move there, and a shard admits movers while its quota lasts. Quotas hold for linked documents alone: the unlinked have no
-edges to cut, so they fill what is left, which makes the counts exact. Groups too large for one shard are placed first, in
-as few shards as they need.
+Documents are linked through a shared group key (equal texts, here); a group is a hyperedge, so no pairs are made. All
+members of a group start with one label, a shard with room for the whole group, so no rounds of votes are needed: groups of
+one size are interchangeable, and the driver places counts by size, the largest sizes first, each into the shards with most
+room. Where no shard has room for a group, groups of other sizes are exchanged between shards until one has. Groups larger
+than a shard are placed first, in as few shards as they need; groups that no exchange finds room for are cut last. The
+unlinked have no edges to cut, so they fill what is left, which makes the counts exact.
 
-Members of a group are interchangeable, so the rounds work on counts by (group, shard). Documents are ranked once, in
-salted slices of their group; a group of a third of all rows is spread over many tasks.
+Documents are ranked once, in salted slices of their group; a group of a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, table, written
 
 SLICES = 64  # of a group, by document
-BINS = 256  # of the movers into a shard: the steps in which a quota is granted
 
 
 def _prefix(df: DataFrame, by: str, n: str, key: list[str], out: str, buckets: int) -> DataFrame:
@@ -35,50 +36,107 @@ def _prefix(df: DataFrame, by: str, n: str, key: list[str], out: str, buckets: i
     return d.join(F.broadcast(starts), [by, "_bucket"]).withColumn(out, F.col("_start") + F.coalesce(F.sum(n).over(inner), F.lit(0))).drop("_bucket", "_start")
 
 
-def _place_large(large: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int]]:
-    """(group, shard, n): each group, the largest first, takes the shards with most room in turn."""
-    out = []
-    for g, n in sorted(large, key=lambda x: (-x[1], x[0])):
-        while n:
+def _exchange(room: list[int], groups: list[Counter], s: int, t: int, log: list) -> bool:
+    """Move a group of s to t, for a smaller one or none: the exchange that gives s most of the room of t, if there is one."""
+    ours = np.array(sorted(groups[s]), np.int64)
+    theirs = np.array([0, *sorted(groups[t])], np.int64)
+    at = np.searchsorted(theirs, ours - room[t])  # the smallest that t can give and still take ours
+    gain = np.where(at < len(theirs), ours - theirs[np.minimum(at, len(theirs) - 1)], 0)
+    if not len(gain) or gain.max() < 1:
+        return False
+    k = int(gain.argmax())
+    log.append((s, t, int(ours[k]), int(theirs[at[k]])))
+    _apply(room, groups, *log[-1])
+    return True
+
+
+def _apply(room: list[int], groups: list[Counter], s: int, t: int, ours: int, theirs: int) -> None:
+    for a, b, n in ((s, t, ours), (t, s, theirs)):
+        if n:
+            groups[a][n] -= 1
+            if not groups[a][n]:
+                del groups[a][n]
+            groups[b][n] += 1
+    room[s] += ours - theirs
+    room[t] -= ours - theirs
+
+
+def _make_room(n: int, room: list[int], groups: list[Counter]) -> int | None:
+    """A shard with room for n after exchanges with others; None, and nothing changed, if none is found."""
+    order = sorted(range(len(room)), key=lambda k: (-room[k], k))
+    for s in order if sum(room) >= n else []:
+        log: list = []
+        for t in order:
+            while t != s and room[s] < n and room[t] and _exchange(room, groups, s, t, log):
+                pass
+        if room[s] >= n:
+            return s
+        for s_, t, ours, theirs in reversed(log):
+            _apply(room, groups, s_, t, theirs, ours)
+    return None
+
+
+def place(sizes: dict[int, int], quota: list[int]) -> tuple[list[Counter], list[tuple[int, list[tuple[int, int]]]], list[int]]:
+    """sizes: groups by size. Returns whole groups (by shard: size -> count), those cut (size, [(shard, n)]), room left.
+
+    All groups together fit the quotas. At most one group a shard is cut, as each fills one at least."""
+    room = list(quota)
+    groups: list[Counter] = [Counter() for _ in room]
+    cut = []
+
+    def split(n):
+        pieces, left = [], n
+        while left:
             s = max(range(len(room)), key=lambda k: (room[k], -k))
-            take = min(n, room[s])
-            out.append((g, s, take))
+            take = min(left, room[s])
+            pieces.append((s, take))
             room[s] -= take
-            n -= take
-    return out
-
-
-def propagate(votes: DataFrame, room: list[int], rounds: int) -> DataFrame:
-    """votes (group, shard, n) after at most `rounds` rounds; no shard gains more than `room`, net of what it holds."""
-    spark = votes.sparkSession
-    for r in range(rounds):
-        held = {x.shard: x.n for x in votes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
-        left = [room[s] - held.get(s, 0) for s in range(len(room))]
-        # The shard with most votes among those that could take the whole group now, if there is one.
-        cast = votes.groupBy("group").agg(F.collect_list(F.struct("n", F.xxhash64("group", "shard", F.lit(r)).alias("h"), "shard")).alias("cast"), F.sum("n").alias("size")).where(F.size("cast") > 1)
-        space = F.array(*[F.lit(x).cast("long") for x in left])
-        fits = F.filter("cast", lambda x: F.element_at(space, x["shard"] + 1) >= F.col("size") - x["n"])
-        best = cast.withColumn("best", F.coalesce(F.array_max(fits), F.array_max("cast")))
-        asks = votes.join(best.select("group", F.col("best.shard").alias("target")), "group", "left").withColumn("bin", F.pmod(F.xxhash64("group", F.lit(r)), F.lit(BINS)).cast("int"))
-        wanted = asks.where("shard <> target").groupBy("target", "bin").agg(F.sum("n").alias("n")).collect()  # at most shards * BINS rows
-        if not wanted:
-            break
-        granted = []
-        for s in range(len(room)):
-            total = 0
-            for n, b in sorted((x.n, x.bin) for x in wanted if x.target == s):  # small bins first: more groups are made whole
-                if (total := total + n) > left[s]:
-                    break
-                granted.append((s, b))
-        if not granted:
-            break
-        grants = spark.createDataFrame(granted, "target int, bin int").withColumn("yes", F.lit(True))
-        moved = asks.join(F.broadcast(grants), ["target", "bin"], "left").withColumn("shard", F.when(F.col("yes") & F.col("target").isNotNull(), F.col("target")).otherwise(F.col("shard")))
-        votes = written(moved.groupBy("group", "shard").agg(F.sum("n").alias("n")), "shard-votes")
-    return votes
-
-
-def balanced_shards(docs: DataFrame, group: Column, tie: list[Column], shards: int = 40, rounds: int = 6) -> DataFrame:
+            left -= take
+        cut.append((n, pieces))
+
+    def put(n, s, count=1):
+        groups[s][n] += count
+        room[s] -= n * count
+
+    over: Counter = Counter()
+    for n in sorted(sizes, reverse=True):
+        if n > max(quota):
+            for _ in range(sizes[n]):
+                split(n)
+            continue
+        left = sizes[n]
+        lo, hi = 0, max(room)  # the highest level that shards can be filled to, down from their room, if all n-groups fit
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if sum(max(0, r - mid) // n for r in room) >= left:
+                lo = mid
+            else:
+                hi = mid - 1
+        for s in sorted(range(len(room)), key=lambda k: (-room[k], k)):
+            take = min(left, max(0, room[s] - lo) // n)
+            if take:
+                put(n, s, take)
+                left -= take
+        while left and (s := _make_room(n, room, groups)) is not None:
+            put(n, s)
+            left -= 1
+        if left:
+            over[n] = left
+    found = True
+    while found:  # smaller groups, placed since, allow other exchanges
+        found = False
+        for n in sorted(over):
+            while over[n] and (s := _make_room(n, room, groups)) is not None:
+                put(n, s)
+                over[n] -= 1
+                found = True
+    for n in sorted(over, reverse=True):
+        for _ in range(over[n]):
+            split(n)
+    return groups, cut, room
+
+
+def balanced_shards(docs: DataFrame, group: Column, tie: list[Column], shards: int = 40) -> DataFrame:
     """docs with shard (from 0) and slot (from 0, without gaps in a shard). Counts of shards are at most one apart.
 
     Rows with an equal `group` are linked (a null group links its rows too); `tie` columns order the rows of a group. Rows
@@ -93,26 +151,23 @@ def balanced_shards(docs: DataFrame, group: Column, tie: list[Column], shards: i
     total = slices.agg(F.sum("n")).first()[0] or 0
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     sizes = written(slices.groupBy("group").agg(F.sum("n").alias("size")), "shard-groups")
-    limit = max(2, total // (8 * shards))
-    large = [(r.group, r.size) for r in sizes.where(F.col("size") > limit).collect()] if total else []  # at most 8 * shards rows
-    room = list(quota)
-    placed = _place_large(large, room)
-    small = slices.join(sizes.where((F.col("size") > 1) & (F.col("size") <= limit)).select("group"), "group")
-    first = small.groupBy("group", F.pmod(F.xxhash64("group", "slice"), F.lit(shards)).cast("int").alias("shard")).agg(F.sum("n").alias("n"))
-    votes = propagate(written(first, "shard-votes"), room, rounds)
-    if placed:
-        votes = votes.unionByName(spark.createDataFrame(placed, "group long, shard int, n long"))
-    # Each (group, shard) takes a run of slots; what lies beyond the quota joins the unlinked in the pool.
-    runs = written(_prefix(votes.withColumn("negative", -F.col("n")), "shard", "n", ["negative", "group"], "slot", buckets), "shard-runs")
-    limits = F.array(*[F.lit(q).cast("long") for q in quota])
-    runs = runs.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.element_at(limits, F.col("shard") + 1) - F.col("slot"))))
-    held = {r.shard: r.n for r in runs.groupBy("shard").agg(F.sum("kept").alias("n")).collect()}  # a row a shard
-    used = [held.get(s, 0) for s in range(shards)]
-    free = [q - u for q, u in zip(quota, used, strict=True)]
-    spare = runs.where("kept < n").select("group", "shard", (F.col("n") - F.col("kept")).alias("n"))
-    single = sizes.where("size = 1").select("group", F.lit(-1).alias("shard"), F.col("size").alias("n"))
-    pool = _prefix(spare.unionByName(single).withColumn("_all", F.lit(0)), "_all", "n", ["group", "shard"], "slot", buckets)
-    pieces = runs.where("kept > 0").select("group", "shard", F.col("kept").alias("n"), "slot").unionByName(pool.select("group", F.lit(-1).alias("shard"), "n", "slot"))
+    many = {r["size"]: r["n"] for r in sizes.where("size > 1").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most sqrt(2 * total) sizes
+    whole, cut, free = place(many, quota)
+    used = [q - f for q, f in zip(quota, free, strict=True)]
+    # Groups of a size are numbered; each run of numbers goes to one shard, and the last ones are those that are cut.
+    steps, at = [], Counter()
+    for n, held in [*((n, [(s, n)] * 1) for s in range(shards) for n in whole[s]), *cut]:
+        count = whole[held[0][0]][n] if len(held) == 1 else 1
+        steps.append((n, at[n], at[n] + count, held))
+        at[n] += count
+    steps = spark.createDataFrame(steps, "size long, first long, end long, held array<struct<shard: int, n: long>>")  # at most sizes * shards rows
+    linked = _prefix(sizes.where("size > 1").withColumn("one", F.lit(1)), "size", "one", ["group"], "number", buckets)
+    linked = linked.join(F.broadcast(steps), ["size"]).where("number >= first and number < end").select("group", F.inline("held"))
+    # Each (group, shard) takes a run of slots; the unlinked are a pool that takes the rest.
+    runs = _prefix(linked, "shard", "n", ["group"], "slot", buckets)
+    single = sizes.where("size = 1").select("group", F.col("size").alias("n"))
+    pool = _prefix(single.withColumn("_all", F.lit(0)), "_all", "n", ["group"], "slot", buckets)
+    pieces = written(runs.select("group", "shard", "n", "slot").unionByName(pool.select("group", F.lit(-1).alias("shard"), "n", "slot")), "shard-pieces")
     plan = pieces.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("shard", "slot", "n"))).alias("pieces"))
     before = Window.partitionBy("group").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows a group
     offsets = slices.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(plan, "group")

@@ -263,6 +263,34 @@ def test_more_shards_than_rows_and_none(spark, rows, empty):
     assert len(c) == 7 and set(c.values()) == {100}
 
 
+def cut_groups(df, key, shards):
+    """The sizes of groups in more than one shard."""
+    s = sharding.balanced_shards(df, F.col(key), [F.col("id")], shards=shards).collect()
+    count = collections.Counter(r.shard for r in s)
+    assert len(count) == shards and max(count.values()) - min(count.values()) <= 1
+    assert all(sorted(r.slot for r in s if r.shard == k) == list(range(n)) for k, n in count.items())
+    found = collections.defaultdict(list)
+    for r in s:
+        found[r[key]].append(r.shard)
+    return [len(x) for x in found.values() if len(set(x)) > 1]
+
+
+def test_no_group_that_fits_is_cut(spark):
+    r = random.Random(3)
+    small = [k for k in range(600) for _ in range(r.randint(2, 5))]
+    hot = small + [-1] * len(small) + list(range(1000, 1000 + len(small)))  # a third each: small groups, one hot group, unlinked
+    for keys, over in ((small, 0), (hot, 1)):
+        df = spark.createDataFrame(list(enumerate(keys)), "id long, k long").repartition(3)
+        assert len(cut_groups(df, "k", 12)) == over
+
+
+def test_groups_are_placed_by_exchange():
+    whole, cut, room = sharding.place({4: 1, 3: 2, 2: 2}, [7, 7])  # by most room alone, a pair is left with a place in each
+    assert not cut and room == [0, 0] and sum(whole, collections.Counter()) == {4: 1, 3: 2, 2: 2}
+    whole, cut, room = sharding.place({2: 5}, [5, 5])  # odd shards can't be filled by pairs
+    assert cut == [(2, [(0, 1), (1, 1)])] and room == [0, 0]
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------------
 
 
