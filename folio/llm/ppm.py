@@ -164,14 +164,14 @@ def _own_keys(order: int):
 
     def run(batches):
         for b in G.batch_of(batches, 3, 1 << 19):
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for d, k, train, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 x = (x or b"").lower()
                 g = G.keys(list(G.symbols(x, order)), order)
                 for kind, (key, n) in ((GRAM, np.unique(g, return_counts=True)), (WORD, np.unique(word_hashes(x), return_counts=True))):
-                    for col, v in zip(cols, (np.full(len(key), d if d is not None else 0), np.full(len(key), k), np.full(len(key), train), np.full(len(key), kind), key, n), strict=True):
+                    for col, v in zip(cols, (np.full(len(key), d if d is not None else 0), np.full(len(key), d is None), np.full(len(key), k), np.full(len(key), train), np.full(len(key), kind), key, n), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(cols, (np.int64, np.int64, bool, np.int32, np.int64, np.int64), strict=True)], ["doc_id", "text_key", "train", "kind", "key", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(cols, (np.int64, bool, np.int64, bool, np.int32, np.int64, np.int64), strict=True)], ["doc_id", "no_id", "text_key", "train", "kind", "key", "times"])
 
     return run
 
@@ -183,7 +183,7 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, most_rows:
     the text and its end under the trie; base_score that of its words (split at ASCII white space) and its end under the
     add-one unigram model. Null and empty texts consist of their end. Repeated rows count, and are scored, each; without
     training rows every symbol is equally likely. Further columns of docs are left out. `most_rows` is the size up to
-    which tables are broadcast; it changes no result (null ids give rows of id 0 in the join).
+    which tables are broadcast; it changes no result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -199,18 +199,20 @@ def score_corpus(docs: DataFrame, train: Column, order: int = ORDER, most_rows:
         c = spark.sparkContext.broadcast(G.Lookup(*G.fetched(known, [np.int64, np.int64])))
         out = d.mapInArrow(_score(order, t, c, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     else:
-        own = d.select("doc_id", F.xxhash64("text").alias("text_key"), "train", "text").mapInArrow(_own_keys(order), "doc_id long, text_key long, train boolean, kind int, key long, times long")
+        own = d.select("doc_id", F.xxhash64("text").alias("text_key"), "train", "text").mapInArrow(_own_keys(order), "doc_id long, no_id boolean, text_key long, train boolean, kind int, key long, times long")
         value = trie.select(F.lit(GRAM).alias("kind"), "key", F.col("value").cast("double")).unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.col("n_train").cast("double").alias("value")))
         j = own.join(value, ["kind", "key"])
         is_word = F.col("kind") == WORD
-        out = j.groupBy("doc_id", "text_key", "train").agg(
+        out = j.groupBy("doc_id", "no_id", "text_key", "train").agg(
             F.sum(F.when(is_word, F.col("times"))).alias("n_tokens"),
             F.sum(F.when(is_word & (F.col("value") > 0), F.col("times")).otherwise(0)).alias("n_known"),
             F.sum(F.when(is_word, F.col("times") * F.log10((F.col("value") + 1) / (total + distinct + 1)))).alias("base_score"),
             F.sum(F.when(~is_word, F.col("times") * F.col("value"))).alias("score"),
-            F.max(F.when(is_word & (F.col("key") == END_WORD), F.col("times"))).alias("copies"),
+            F.sum(F.when(is_word & (F.col("key") == END_WORD), F.col("times"))).alias("copies"),
         )
-        out = out.withColumn("held_out", ~F.col("train"))
+        # Repeated rows were added up; each has one end, and each gets its share.
+        each = [(F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))]
+        out = out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), (~F.col("train")).alias("held_out"), *each, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -404,6 +404,15 @@ def test_ppm(docs, rows, most):
         assert abs(r.score - times * ppm_score(b, ctx, order)) < 1e-3 * max(1, abs(r.score))
 
 
+def test_ppm_join_equals_broadcast(spark):
+    rows = [(1, "a b a"), (1, "a b a"), (1, "a b a"), (1, "other b"), (None, "a b a"), (None, "a b a"), (None, None), (0, "a b a"), (0, ""), (2, "b Zz"), (2, "b Zz")]
+    by_path = []
+    for most in (16_000_000, 0):
+        got = ppm.score_corpus(frame(spark, rows), F.col("doc_id") != 2, 3, most).collect()
+        by_path.append(sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in got), key=repr))
+    assert len(by_path[0]) == len(rows) and by_path[0] == by_path[1]
+
+
 def test_ppm_without_training_rows(docs, empty):
     r = ppm.score_corpus(docs.where("doc_id = 93"), F.lit(False)).collect()[0]
     assert r.train_tokens == 0 and r.n_known == 0 and abs(r.score + 14 * math.log10(257)) < 1e-4
