@@ -71,6 +71,26 @@ def remove(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def anti_join(docs: DataFrame, keys: dict[str, Column], marked: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose keys are in `marked`, a written table with columns of the dict's names; nulls equal nulls.
+
+    Up to `most` rows of `marked` are broadcast, so that texts stay where they are; beyond, both sides are shuffled.
+    """
+    return _marked(docs, keys, marked, most, "left_anti")
+
+
+def semi_join(docs: DataFrame, keys: dict[str, Column], marked: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows that `anti_join` leaves out."""
+    return _marked(docs, keys, marked, most, "left_semi")
+
+
+def _marked(docs: DataFrame, keys: dict[str, Column], marked: DataFrame, most: int, how: str) -> DataFrame:
+    few = marked.count() <= most
+    marked = marked.select(*[F.col(k).alias(f"_marked_{k}") for k in keys])
+    on = [c.eqNullSafe(F.col(f"_marked_{k}")) for k, c in keys.items()]
+    return docs.join(F.broadcast(marked) if few else marked, on, how)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; all other characters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -12,10 +12,12 @@ Documents are never shuffled: only verified occurrences and one row for each doc
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table, written
+from .common import anti_join, lower_ascii, table, written
 
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,11 +98,13 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 13, block: int =
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, min_share: float = 0.05, block: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, min_share: float | Fraction = 0.05, block: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, item_ids, contaminated, and the hit word spans.
 
-    contaminated: at least one word is hit and the hit words are at least min_share of all. Rows that repeat a doc_id
-    with the same text give one row each with equal results; rows with null doc_id are documents of their own text.
+    contaminated: at least one word is hit and the hit words are at least min_share of all, compared in whole numbers (a
+    float counts as the decimal it is written as; 0 asks for one hit word). Rows that repeat a doc_id with the same text
+    give one row each with equal results; rows with null doc_id are documents of their own text. Empty tables give no rows
+    or no hits, and further columns are left out.
     """
     occ = occurrences(docs, items, width, block)
     span = F.struct(F.col("start").alias("start"), (F.col("start") + F.col("len")).alias("end"))
@@ -116,18 +120,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, min_share:
         lambda a, s: F.struct((a["n"] + F.greatest(s["end"] - F.greatest(a["end"], s["start"]), F.lit(0))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")),
     )["n"].cast("long")
     g = g.withColumn("n_hit", merged).withColumn("n_items", F.size("item_ids").cast("long"))
-    # Exact for shares such as 1/20: whole numbers are compared.
-    share = round(1 / min_share)
-    g = g.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    share = Fraction(str(min_share))
+    g = g.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(share.denominator) >= F.col("n_words") * F.lit(share.numerator)))
     g = g.withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return g.select("doc_id", "text_key", "n_words", "n_hit", "n_items", "item_ids", "spans", "contaminated")
 
 
-def clean(docs: DataFrame, items: DataFrame, width: int = 13, min_share: float = 0.05) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
-    bad = decontaminate(docs, items, width, min_share).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (key == bad["_k"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, width: int = 13, min_share: float | Fraction = 0) -> DataFrame:
+    """The documents that are not contaminated, with their columns; by default those in which no window occurs.
+
+    Null and empty texts, null ids and repeated rows stay unless their own text is contaminated; columns of any name stay.
+    """
+    bad = decontaminate(docs, items, width, min_share).where("contaminated").select("doc_id", "text_key").distinct()
+    return anti_join(docs, {"doc_id": F.col("doc_id"), "text_key": F.xxhash64(F.coalesce("text", F.lit("")))}, written(bad, "decon-bad"))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

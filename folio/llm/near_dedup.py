@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, remove, table, written
+from .common import anti_join, bounded_batches, remove, semi_join, table, written
 from .components import components
 from .shingles import shingle_set
 
@@ -83,7 +83,7 @@ def _sketches(width: int, bands_wanted: int):
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 n.append(len(s))
                 bands.append(band_keys(signature(s, factors, offsets)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "set_key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "n", "bands"])
 
     return run
 
@@ -174,6 +174,21 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> Data
         pivots *= 64
 
 
+def _classified(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Per document row: doc_id, text_key (a hash of the text), n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
+    sketch = written(narrow.mapInArrow(_sketches(width, bands_for(percent)), "doc_id long, text_key long, set_key binary, n long, bands array<long>"), "dedup-sketch")
+    # One row a set: the bands are those of any document that has it.
+    classes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes, "dedup-classes")
+    joined = links(docs, classes, percent, width)
+    label = classes.select("set_key", "id").join(joined, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    out = sketch.select("doc_id", "text_key", "set_key", "n").join(label, "set_key", "left")
+    component = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.
 
@@ -182,24 +197,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     nothing by itself: it takes the component of the documents with its set, else null. Rows that share a doc_id are one
     document: repeated rows give equal rows. Further columns of docs are left out.
     """
-    bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketch = written(narrow.mapInArrow(_sketches(width, bands_for(percent)), "doc_id long, set_key binary, n long, bands array<long>"), "dedup-sketch")
-    # One row a set: the bands are those of any document that has it.
-    classes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes, "dedup-classes")
-    joined = links(docs, classes, percent, width)
-    label = classes.select("set_key", "id").join(joined, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = sketch.select("doc_id", "set_key", "n").join(label, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return _classified(docs, percent, width).drop("text_key")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs without the documents whose component is kept through another; of repeated rows one stays.
-    Rows without an id have no component of their own to go by, so they all stay, but for repeated ones."""
-    lost = near_duplicates(docs, percent, width).where("not kept").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti").dropDuplicates(["doc_id", "text"])
+    """docs without the documents whose component is kept through another; of rows equal in id and text one stays.
+    Rows without an id have no component of their own to go by, so they all stay, but for repeated ones.
+
+    Decided on ids and hashes of texts; texts are shuffled only where they are repeated under one id, and where the lost ids
+    are too many to broadcast."""
+    rows = written(_classified(docs, percent, width).select("doc_id", "text_key", "kept"), "dedup-kept")
+    lost = written(rows.where("not kept and doc_id is not null").select("doc_id").distinct(), "dedup-lost", narrow=True)
+    out = anti_join(docs, {"doc_id": F.col("doc_id")}, lost)
+    again = written(rows.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "dedup-again", narrow=True)
+    if again.isEmpty():
+        return out
+    key = {"doc_id": F.col("doc_id"), "text_key": F.xxhash64("text")}
+    return anti_join(out, key, again).unionByName(semi_join(out, key, again).dropDuplicates(["doc_id", "text"]))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

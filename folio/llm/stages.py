@@ -23,7 +23,7 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items in a twentieth of their words or more go."""
+    """Documents that hold a window of a benchmark item go, however small a part of their text it is."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
