@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import UTC, datetime
 from typing import Any
 
@@ -11,12 +12,24 @@ from pyspark.sql import functions as F
 from .config import FAMILY, FAMILY_NAME, LIMIT, LIMIT_RANGE, OVERSAMPLE, OVERSAMPLE_RANGE, PER_SOURCE, PER_SOURCE_RANGE, PREVIEW_CHARACTERS, SEARCH_SCHEMA_VERSION, THRESHOLD, THRESHOLD_RANGE, Collection
 from .functions.embedding import HashProvider, chunk_budget, embed_query
 from .operators import fulltext, maintenance
-from .plans.ingest import chunk_rows, embed, parse
+from .plans.ingest import chunk_rows, embed, metric_counters, parse
 from .plans.search import search, search_many
 from .sources.index import IndexStore
 from .sources.listing import first_sources
 
 
+@contextmanager
+def pool(spark: SparkSession, name: str):
+    """Run what is started inside in a scheduler pool of its own (`search`, `update`): with spark.scheduler.mode=FAIR a query
+    gets its share of the cluster while an update runs. Results of `search` are plans; start them inside too."""
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"folio-{name}")
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
+
+
 def _in_range(name: str, value: Any, low: float, high: float, whole: bool) -> None:
     if isinstance(value, bool) or not isinstance(value, int if whole else (int, float)) or not low <= value <= high:
         raise ValueError(f"{name} must be {'an integer' if whole else 'a number'} from {low} to {high}")
@@ -55,14 +68,13 @@ class Engine:
         changed = maintenance.changed_sources(listing, stored, refresh)
         if "content" not in changed.columns:
             changed = fetch(changed)
-        # Parsed and embedded rows are used several times: they are kept until the commit.
-        parsed = parse(changed, branch or family, family, chunk_budget(getattr(self.provider, "max_characters", None)), self.collection).persist()
-        vectors = embed(chunk_rows(parsed), self.provider).persist()
-        try:
-            return self._commit(listing, stored, deleted, parsed, vectors, family, branch or family, commit)
-        finally:
-            parsed.unpersist()
-            vectors.unpersist()
+        # Parsed and embedded rows are used several times. They are written, so that a lost executor has nothing embedded again.
+        counters = metric_counters(self.spark)
+        with self.store.staged() as stage, pool(self.spark, "update"):
+            parsed = stage(parse(changed, branch or family, family, chunk_budget(getattr(self.provider, "max_characters", None)), self.collection), "parsed")
+            vectors = stage(embed(chunk_rows(parsed), self.provider, counters=counters), "vectors")
+            done = self._commit(listing, stored, deleted, parsed, vectors, family, branch or family, commit)
+        return done | {"metrics": {k: c.value for k, c in counters.items()}}
 
     def _commit(self, listing, stored, deleted, parsed, vectors, family, branch, commit) -> dict[str, Any]:
         failed = vectors.where("error is not null").groupBy("path").agg(F.first("error").alias("error")).select(F.col("path").alias("source_path"), F.lit("embed").alias("stage"), "error")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
+from collections.abc import Mapping
+from copy import copy
+from dataclasses import fields
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_CHARACTERS, Collection
+from ..functions.embedding import Metrics
 from ..functions.markdown import FIELDS, chunk_document, metadata_json
 
 CHUNK_COLUMNS = "doc_type string, publication string, source_path string, release string, chunk_type string, chunk_index int, title string, heading string, content string, topic_type string, product string, classification string, last_updated string, object_name string, method_name string, metadata string, content_hash string"
@@ -32,8 +37,6 @@ def parse(sources: DataFrame, branch: str, family: str, most: int = CHUNK_CHARAC
             return path, sha, None, None, None, "embed", f"chunk source identity mismatch for {path}", None
         whole = next((c["metadata"]["full_content"] for c in chunks if isinstance(c["metadata"].get("full_content"), str)), content)
         rows = [{k: metadata_json(c[k]) if k == "metadata" else c[k] for k in FIELDS} for c in chunks]
-        import hashlib
-
         return path, sha, hashlib.sha1(content.encode(), usedforsecurity=False).hexdigest(), whole, len(rows), None, None, rows
 
     def run(batches):
@@ -51,30 +54,38 @@ def chunk_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is null").select("path", F.explode("chunks").alias("c")).select("path", "c.*")
 
 
-def embed(chunks: DataFrame, provider, text: str = "content") -> DataFrame:
-    """chunks with embedding and error: batches sorted by length within each partition; where a batch fails, its texts are
-    embedded one by one, so one bad text costs only itself."""
+def embed(chunks: DataFrame, provider, text: str = "content", counters: Mapping[str, Accumulator] | None = None) -> DataFrame:
+    """chunks with embedding and error: batches sorted by length within each partition. Where a batch fails, the provider
+    tells which texts did (`embed_some`), or its texts are embedded one by one; so one bad text costs only itself.
+
+    counters: accumulators by the names of the provider's metrics, which get what the tasks have counted."""
     ordered = chunks.sortWithinPartitions(F.length(text))
     at = chunks.columns.index(text)
     schema = chunks.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("error", F.lit(None).cast("string")).schema
 
+    def some(texts: list[str]) -> tuple[list, dict[int, Exception]]:
+        try:
+            return (provider.embed_some(texts) if hasattr(provider, "embed_some") else (list(provider.embed(texts)), {})) if texts else ([], {})
+        except Exception as e:  # noqa: BLE001  told in the row
+            if len(texts) == 1:
+                return [None], {0: e}
+        each = [some([t]) for t in texts]
+        return [v[0] for v, _ in each], {k: x[0] for k, (_, x) in enumerate(each) if x}
+
     def run(batches):
+        metrics = getattr(provider, "metrics", None)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            vectors, errors = [None] * len(texts), [None] * len(texts)
-            try:
-                vectors = list(provider.embed(texts)) if texts else []
-            except Exception:  # noqa: BLE001
-                for k, t in enumerate(texts):
-                    try:
-                        vectors[k] = provider.embed([t])[0]
-                    except Exception as e:  # noqa: BLE001  told in the row
-                        errors[k] = str(e)
+            before = copy(metrics)
+            vectors, lost = some(b.column(at).to_pylist())
+            if counters and metrics is not None:
+                for name, n in metrics.since(before).items():
+                    counters[name].add(n)
             v = pa.array([None if x is None else [float(y) for y in x] for x in vectors], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, v, pa.array(errors, pa.string())], [*b.schema.names, "embedding", "error"])
+            errors = pa.array([str(lost[k]) if k in lost else None for k in range(b.num_rows)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, v, errors], [*b.schema.names, "embedding", "error"])
 
     return ordered.mapInArrow(run, schema)
 
 
-def manifest_json(manifest: dict) -> str:
-    return json.dumps(manifest, sort_keys=True)
+def metric_counters(spark: SparkSession) -> dict[str, Accumulator]:
+    return {f.name: spark.sparkContext.accumulator(0) for f in fields(Metrics)}

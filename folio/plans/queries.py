@@ -99,9 +99,11 @@ def batch_knn(spark, d):
 
 
 @query("""WITH w AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-  SELECT id, CAST(list_sum(list_transform(range(1, 65), lambda k: CASE WHEN e[k] > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS ones FROM w""")
+  SELECT id, list_aggregate(list_transform(range(1, 65), lambda k: CASE WHEN e[k] > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM w""")
 def quantize_binary(spark, d):
-    return vectors.with_coarse(vecs(spark, d), DIMS).select("id", F.bit_count("c0").cast("bigint").alias("ones"))
+    """The code's bits by dimension, whatever the order in which words hold them."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda k: F.bit_get("c0", k).cast("string"))
+    return vectors.with_coarse(vecs(spark, d), DIMS).select("id", F.array_join(bits, "").alias("bits"))
 
 
 FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(word, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
@@ -115,15 +117,17 @@ def hash_embedding(spark, d):
     return bucket_counts(docs(spark, d), "doc_id", "text", DIMS)
 
 
-def _bm25_sql(terms: list[str], phrase: bool) -> str:
-    """BM25 of the one-column table documents.text."""
+def _bm25_sql(terms: list[str], phrase: bool, source: str = 'SELECT doc_id AS id, "text" FROM documents', fields: dict[str, float] | None = None) -> str:
+    """BM25 over weighted fields of a table with an id: of documents.text alone unless told otherwise."""
+    fields = fields or {'"text"': 1.0}
     slots = [(k, [t]) for k, t in enumerate(terms)] + ([(-1, terms)] if phrase and len(terms) > 1 else [])
     hit = []
     for slot, p in slots:
-        join = " ".join(f"JOIN tok t{i} ON t{i}.id = t0.id AND t{i}.pos = t0.pos + {i} AND t{i}.token = '{w}'" for i, w in enumerate(p) if i)
-        hit.append(f"SELECT {slot} AS slot, t0.id, count(*) AS f FROM tok t0 {join} WHERE t0.token = '{p[0]}' GROUP BY t0.id")
-    return f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower("text")), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-  tok AS (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM d), len AS (SELECT id, len(w) AS n FROM d), st AS (SELECT count(*) AS nd, avg(n) AS mean FROM len),
+        join = " ".join(f"JOIN tok t{i} ON t{i}.id = t0.id AND t{i}.field = t0.field AND t{i}.pos = t0.pos + {i} AND t{i}.token = '{w}'" for i, w in enumerate(p) if i)
+        hit.append(f"SELECT {slot} AS slot, t0.id, sum(t0.weight) AS f FROM tok t0 {join} WHERE t0.token = '{p[0]}' GROUP BY t0.id")
+    cells = " UNION ALL ".join(f"SELECT id, {k} AS field, CAST({w} AS DOUBLE) AS weight, regexp_extract_all(strip_accents(lower({f})), '[\\p{{L}}\\p{{N}}]+') AS w FROM src" for k, (f, w) in enumerate(fields.items()))
+    return f"""WITH src AS ({source}), d AS ({cells}),
+  tok AS (SELECT id, field, weight, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM d), len AS (SELECT id, sum(len(w)) AS n FROM d GROUP BY id), st AS (SELECT count(*) AS nd, avg(n) AS mean FROM len),
   hits AS ({" UNION ALL ".join(hit)}), df AS (SELECT slot, count(*) AS n FROM hits GROUP BY slot),
   idf AS (SELECT slot, CASE WHEN ln((nd - n + 0.5) / (n + 0.5)) > 0 THEN ln((nd - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf FROM df, st),
   s AS (SELECT hits.id, hits.slot, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len.n / mean)) AS s FROM hits JOIN idf USING (slot) JOIN len USING (id), st),
@@ -224,9 +228,34 @@ def hybrid_rows(spark, d, text: str, limit: int = 20) -> DataFrame:
     return search(c, v, fulltext.postings(c, fields, only=asked), fulltext.lengths(c, fields), text, q, limit=limit)
 
 
-@query()
+HYBRID_QUERY, HYBRID_LIMIT = "how to use the release of thing", 20
+
+
+def _hybrid_sql() -> str:
+    """The search in SQL, where a release has no more rows than the coarse pass hands on, so that every row is compared exactly."""
+    from ..functions.hashing import hash_vector
+
+    candidates = max(100, 20 * HYBRID_LIMIT)
+    vector = "[" + ", ".join(str(float(x)) for x in hash_vector(HYBRID_QUERY, DIMS)) + "]"
+    multiplier = f"CAST({_KINDS} AS DOUBLE) * CASE WHEN chunk_type IN ('overview', 'section') THEN 1.1 ELSE 1.0 END"
+    source = f"""SELECT *, split_part(content, chr(10), 1) AS first_line FROM (WITH {CHUNKS_SQL} SELECT chunks.*, "text" AS content FROM chunks JOIN documents ON doc_id = id)"""
+    return f"""{_bm25_sql(HYBRID_QUERY.split(), True, source, {"first_line": 10.0, "content": 1.0})},
+  words AS (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS word FROM src), hashes AS (SELECT word, {FNV} AS h FROM (SELECT DISTINCT word FROM words)),
+  buckets AS (SELECT id, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % {DIMS} AS BIGINT) AS bucket, count(*) AS n FROM words JOIN hashes USING (word) GROUP BY ALL),
+  maps AS (SELECT id, map_from_entries(list((bucket, n))) AS m FROM buckets GROUP BY id),
+  vecs AS (SELECT src.id, release, list_transform(range(0, {DIMS}), lambda k: CAST(coalesce(m[k], 0) AS DOUBLE)) AS e FROM src LEFT JOIN maps USING (id)),
+  near AS (SELECT id, release, coalesce(1 - list_cosine_similarity(e, {vector}), 1.0) AS distance FROM vecs),
+  by_release AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY release ORDER BY round(distance, 12), id) <= (SELECT ceil({candidates} / count(DISTINCT release)) FROM near)),
+  sem AS (SELECT id, 1 - distance AS similarity, row_number() OVER (ORDER BY round(distance, 12), id) AS sr FROM by_release QUALIFY sr <= {candidates}),
+  kw AS (SELECT id, 1 - distance AS similarity, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS kr FROM r JOIN near USING (id) QUALIFY kr <= {candidates}),
+  fused AS (SELECT coalesce(s.id, k.id) AS id, coalesce(s.similarity, k.similarity) AS similarity, sr, kr, coalesce(1.0 / (60 + sr), 0) + coalesce(1.0 / (60 + kr), 0) AS rrf FROM (SELECT * FROM sem WHERE similarity >= 0.3) s FULL JOIN kw k ON s.id = k.id),
+  final AS (SELECT fused.*, source_path, release, rrf * {multiplier} AS score FROM fused JOIN src USING (id))
+  SELECT id, source_path, release, round(score, 6) AS score, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY score DESC, sr NULLS LAST, kr NULLS LAST, id) AS rank FROM final QUALIFY rank <= {HYBRID_LIMIT}"""
+
+
+@query(_hybrid_sql())
 def hybrid_search(spark, d):
-    return hybrid_rows(spark, d, "how to use the release of thing").select("id", "source_path", "release", F.round("score", 9).alias("score"), F.round("similarity", 6).alias("similarity"), "rank")
+    return hybrid_rows(spark, d, HYBRID_QUERY, HYBRID_LIMIT).select("id", "source_path", "release", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 API_1 = r"(?i)\b(?:glide[a-z0-9_]*|sn_[a-z0-9_]+|api|method|parameter|argument|endpoint|script)\b"

@@ -4,13 +4,14 @@
     <root>/snapshots/<release>/<id>/<table>    sources, chunks, vectors, postings, lengths
 
 An update writes the tables of its release beside the old ones and then swaps the manifest: readers see one whole state or
-the other, and other releases are not touched. Old snapshots of a release are removed by `optimize`.
+the other, and other releases are not touched. All but the last two snapshots of a release are removed by `optimize`.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,36 +84,49 @@ class IndexStore:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[f"{p}/{name}" for p in paths])
 
+    @contextmanager
+    def staged(self):
+        """A function that writes a table beside the index and reads it back; all such tables go at the end."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+
+        def stage(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{path}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        try:
+            yield stage
+        finally:
+            hadoop.delete(self.spark, path)
+
     def commit(self, release: str, tables: dict[str, DataFrame], manifest: dict) -> None:
-        """Write the tables of a release and make them current; with an error nothing changes."""
+        """Write the tables of a release and make them current; with an error, or after another writer's commit, nothing
+        changes. Postings are sorted by token, so that a search reads few row groups."""
+        before = self._state()
         path = f"{self.root}/snapshots/{release}/{uuid.uuid4().hex}"
         for name, df in tables.items():
             df = df.select(*[F.col(f.split()[0]) for f in TABLES[name].split(", ")])
+            if name == "postings":
+                df = df.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "token", "id").sortWithinPartitions("token", "id")
             df.write.parquet(f"{path}/{name}")
         state = self._state()
+        if state["releases"].get(release) != before["releases"].get(release):
+            hadoop.delete(self.spark, path)
+            raise RuntimeError(f"another update of {release} was committed in the meantime; run this one again")
+        state["previous"] = state.get("previous", {}) | {release: state["releases"].get(release)}
         state["releases"][release] = path
         state["settings"]["manifest"] = manifest
         self._swap(state)
 
     def optimize(self, release: str) -> None:
-        """Postings sorted by token, so that a search reads few of them; then only the current snapshot stays."""
+        """Remove the snapshots of a release but for the current one and the one before it, which readers may still hold."""
         state = self._state()
-        current = state["releases"].get(release)
-        if current is None:
+        keep = {p.rsplit("/", 1)[-1] for p in (state["releases"].get(release), state.get("previous", {}).get(release)) if p}
+        if not keep:
             return
-        path = f"{self.root}/snapshots/{release}/{uuid.uuid4().hex}"
-        n = max(1, self.table("postings", release).rdd.getNumPartitions())
-        for name in TABLES:
-            df = self.table(name, release)
-            df = df.repartitionByRange(n, "token", "id").sortWithinPartitions("token", "id") if name == "postings" else df
-            df.write.parquet(f"{path}/{name}")
-        state["releases"][release] = path
-        self._swap(state)
-        base = f"{self.root}/snapshots/{release}"
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(base)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/snapshots/{release}")
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         for x in fs.listStatus(p):
-            if x.getPath().getName() != path.rsplit("/", 1)[-1]:
+            if x.getPath().getName() not in keep:
                 fs.delete(x.getPath(), True)
 
     def reset(self, yes: bool = False) -> None:

@@ -150,3 +150,30 @@ def test_git_checkout(spark, tmp_path):
     f.write_text("# b\n")
     git("commit", "-qam", "y")
     assert listing.git_sync(f"file://{tmp_path}/o", "main", str(tmp_path / "c")) != c1
+
+
+def test_batches_that_go_well_are_kept_when_others_fail(spark):
+    from folio.plans import ingest
+
+    p, calls, _ = endpoint(lambda t, n: (400, {}, {"error": {"message": "refused"}}) if "bad" in t else good(t, n), batch_size=2, concurrency=1)
+    vectors, lost = p.embed_some(["a", "b", "bad", "c", "d"])
+    assert [v is None for v in vectors] == [False, False, True, True, False] and set(lost) == {2, 3} and len(calls) == 3
+
+    class Counting:
+        name = model = "x"
+        dimensions = 2
+
+        def __init__(self):
+            self.metrics = e.Metrics()
+
+        def embed(self, texts):
+            self.metrics.requests += 1
+            if "bad" in texts:
+                raise ValueError("bad")
+            return [np.ones(2, np.float32) for _ in texts]
+
+    counters = ingest.metric_counters(spark)
+    d = spark.createDataFrame([("a",), ("bad",), ("c",)], "content string").coalesce(1)
+    got = {r.content: (r.embedding, r.error) for r in ingest.embed(d, Counting(), counters=counters).collect()}
+    assert got["bad"] == (None, "bad") and got["a"] == ([1.0, 1.0], None) and got["c"][1] is None
+    assert counters["requests"].value == 4 and counters["retries"].value == 0
