@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import bucket_counts
-from ..functions.markdown import split_text
 from ..operators import fulltext, maintenance, ranking, vectors
-from .ingest import chunk_rows, parse
 
 DIMS = 64
 PATH = "concat('markdown/', source, '/', doc_id, '.md')"
@@ -262,11 +260,11 @@ API_1 = r"(?i)\b(?:glide[a-z0-9_]*|sn_[a-z0-9_]+|api|method|parameter|argument|e
 API_2 = r"\b(?:[a-z]+[A-Z][A-Za-z0-9_]*|[A-Z]{2,}[A-Za-z0-9_]*|[A-Za-z0-9]+_[A-Za-z0-9_]+)\b"
 
 
-@query(f"""WITH t AS (SELECT doc_id, split_part("text", chr(10), 1) AS q FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, "text" AS q FROM documents)
   SELECT doc_id, array_to_string(regexp_extract_all(lower(q), '[a-z0-9_]+'), ' ') AS terms, CASE WHEN regexp_matches(q, '{API_1}') OR regexp_matches(q, '{API_2}') THEN 1.25 ELSE 1.0 END AS weight,
   array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(q, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_]+'), ' ') AS identifiers FROM t""")
 def query_features(spark, d):
-    q = F.substring_index(F.col("text"), "\n", 1)
+    q = F.col("text")
     return docs(spark, d).select("doc_id", F.array_join(fulltext.query_terms(q), " ").alias("terms"), ranking.keyword_weight(q).cast("double").alias("weight"), F.array_join(T.identifier_terms(q), " ").alias("identifiers"))
 
 
@@ -281,41 +279,53 @@ def _words_sql(c: str) -> str:
     return f"regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({c}, ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_]+')"
 
 
-@query(f"""WITH n(id, o, m, q, chunk_type) AS (VALUES {_sql_rows(_NAMES)}), w AS (SELECT *, {_words_sql('o')} AS ow, {_words_sql('m')} AS mw, regexp_extract_all(lower(q), '[a-z0-9_]+') AS t FROM n),
+@query(f"""WITH {CHUNKS_SQL}, n(id, o, m, q, chunk_type) AS (SELECT * FROM (VALUES {_sql_rows(_NAMES)}) UNION ALL SELECT id + 1000, split_part(content, ' ', 1), split_part(content, ' ', 3), content, chunk_type FROM chunks), w AS (SELECT *, {_words_sql('o')} AS ow, {_words_sql('m')} AS mw, regexp_extract_all(lower(q), '[a-z0-9_]+') AS t FROM n),
   b AS (SELECT *, len(ow) > 0 AND list_has_all(t, ow) AS oh, len(mw) > 0 AND list_has_all(t, mw) AS mh FROM w)
   SELECT CAST(id AS BIGINT) AS id, CAST(CASE WHEN oh AND mh THEN 1.8 WHEN mh THEN 1.6 WHEN oh THEN 1.15 ELSE 1.0 END AS DOUBLE) AS boost,
   round(CAST({_KINDS} AS DOUBLE) * CASE WHEN regexp_matches(q, '(?i)\\b(?:parameter|argument|option|property|properties)\\b') AND chunk_type = 'parameter' THEN 1.35
    WHEN regexp_matches(q, '(?i)\\b(?:return|returns|output|result|response|type)\\b') AND chunk_type = 'returns' THEN 1.35 WHEN regexp_matches(q, '(?i)\\b(?:example|sample|code|syntax)\\b') AND chunk_type = 'example' THEN 1.35
    WHEN regexp_matches(q, '(?i)\\b(?:how|configure|setup|set up|use)\\b') AND chunk_type IN ('overview', 'section') THEN 1.1 ELSE 1.0 END, 6) AS multiplier FROM b""")
 def boosts(spark, d):
-    n = spark.createDataFrame(_NAMES, "id long, o string, m string, q string, chunk_type string")
+    word = lambda k: F.split_part(F.col("content"), F.lit(" "), F.lit(k))
+    own = chunks(spark, d).select((F.col("id") + 1000).alias("id"), word(1).alias("o"), word(3).alias("m"), F.col("content").alias("q"), "chunk_type")
+    n = spark.createDataFrame(_NAMES, "id long, o string, m string, q string, chunk_type string").unionByName(own)
     return n.select("id", ranking.identifier_boost(F.col("o"), F.col("m"), fulltext.query_terms(F.col("q"))).alias("boost"), F.round(ranking.type_multiplier(F.col("chunk_type"), F.col("q")), 6).alias("multiplier"))
 
 
 _PATHS = ["markdown/api-reference/rest-apis/table.md", "markdown/api-reference/server-api-reference/c_QueryAPI.md", "markdown/api-reference/cllent-mobile-api-reference/c_FormAPI.md", "markdown/api-reference/top.md", "markdown/api-reference/scripts/guide.md", "markdown/api-reference/other/deep/page.md", "markdown/glossary/terms.md", "markdown/release-notes/notes.md", "markdown/product/page.md", "markdown/product/index.md", "other/page.md", "markdown/product/page.txt", "markdown"]
-_PATH_ROWS = _sql_rows([(p,) for p in _PATHS])
+_FOLDERS = [p.rpartition("/")[0] for p in _PATHS]
+_PATHS_SQL = f"t(p) AS (SELECT * FROM (VALUES {_sql_rows([(p,) for p in _PATHS])}) UNION ALL SELECT list_extract([{', '.join(f"'{x}'" for x in _FOLDERS)}], CAST(doc_id % {len(_FOLDERS)} + 1 AS INTEGER)) || '/' || CASE WHEN doc_id % 50 = 7 THEN 'index' ELSE source || doc_id END || '.md' FROM documents)"
+
+
+def _paths(spark, d) -> DataFrame:
+    """Paths of every kind: the literal ones and one for each document."""
+    folder = F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.pmod("doc_id", F.lit(len(_FOLDERS))) + 1).cast("int"))
+    own = F.concat(folder, F.lit("/"), F.when(F.col("doc_id") % 50 == 7, "index").otherwise(F.concat("source", "doc_id")), F.lit(".md"))
+    return spark.createDataFrame([(p,) for p in _PATHS], "path string").unionByName(docs(spark, d).select(own.alias("path")))
+
+
 _API_SQL = "(p LIKE 'markdown/api-reference/server-api-reference/%' OR p LIKE 'markdown/api-reference/cllent-mobile-api-reference/%' OR p LIKE 'markdown/api-reference/ui-builder-api-reference/%' OR p LIKE 'markdown/api-reference/rest-apis/%' OR regexp_matches(p, '^markdown/api-reference/[^/]+\\.md$'))"
 
 
-@query(f"""WITH t(p) AS (VALUES {_PATH_ROWS}) SELECT p AS path, CASE WHEN p LIKE 'markdown/api-reference/rest-apis/%' THEN 'rest-api' WHEN {_API_SQL} THEN 'scripting-api' WHEN p LIKE 'markdown/glossary/%' THEN 'glossary'
+@query(f"""WITH {_PATHS_SQL} SELECT p AS path, CASE WHEN p LIKE 'markdown/api-reference/rest-apis/%' THEN 'rest-api' WHEN {_API_SQL} THEN 'scripting-api' WHEN p LIKE 'markdown/glossary/%' THEN 'glossary'
   WHEN p LIKE 'markdown/release-notes/%' THEN 'release-notes' WHEN p LIKE 'markdown/api-reference/scripts/%' THEN 'scripting-guide' WHEN p LIKE 'markdown/api-reference/%' THEN 'developer-guide' ELSE 'product-doc' END AS doc_type FROM t""")
 def classify_doc_type(spark, d):
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", T.doc_type(F.col("path")).alias("doc_type"))
+    return _paths(spark, d).select("path", T.doc_type(F.col("path")).alias("doc_type"))
 
 
-@query(f"WITH t(p) AS (VALUES {_PATH_ROWS}) SELECT p AS path, coalesce(split_part(p, '/', 2), '') AS publication FROM t")
+@query(f"WITH {_PATHS_SQL} SELECT p AS path, coalesce(split_part(p, '/', 2), '') AS publication FROM t")
 def publication_from_path(spark, d):
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", T.publication(F.col("path")).alias("publication"))
+    return _paths(spark, d).select("path", T.publication(F.col("path")).alias("publication"))
 
 
 _OK = "p LIKE 'markdown/%' AND p LIKE '%.md' AND NOT p LIKE '%/index.md'"
 _TOP = "regexp_matches(p, '^markdown/api-reference/[^/]+\\.md$')"
 
 
-@query(f"""WITH t(p) AS (VALUES {_PATH_ROWS}) SELECT p AS path, {_OK} AS all_docs, {_OK} AND p LIKE 'markdown/api-reference/server-api-reference/%' AS server, {_OK} AND (p LIKE 'markdown/api-reference/cllent-mobile-api-reference/%' OR {_TOP}) AS client,
+@query(f"""WITH {_PATHS_SQL} SELECT p AS path, {_OK} AS all_docs, {_OK} AND p LIKE 'markdown/api-reference/server-api-reference/%' AS server, {_OK} AND (p LIKE 'markdown/api-reference/cllent-mobile-api-reference/%' OR {_TOP}) AS client,
   {_OK} AND p LIKE 'markdown/api-reference/scripts/%' AS scripts, {_OK} AND (p LIKE 'markdown/api-reference/server-api-reference/%' OR p LIKE 'markdown/api-reference/cllent-mobile-api-reference/%' OR p LIKE 'markdown/api-reference/scripts/%' OR {_TOP}) AS scripting FROM t""")
 def area_filter(spark, d):
-    t = spark.createDataFrame([(p,) for p in _PATHS], "path string")
+    t = _paths(spark, d)
     return t.select("path", *[T.included(F.col("path"), a).alias(a.replace("-", "_")) for a in ("all-docs", "server", "client", "scripts", "scripting")])
 
 
@@ -334,10 +344,11 @@ def clean_cell(spark, d):
 _HEADERS = ["Name", " Type of <b>value</b> ", "Description&nbsp;(long)", "&lt;x&gt;", "__a--b__", ""]
 
 
-@query(f"""WITH t(h) AS (VALUES {_sql_rows([(h,) for h in _HEADERS])}) SELECT h AS header, regexp_replace(regexp_replace(lower(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t]+', ' ', 'g'))),
+@query(f"""WITH t(h) AS (SELECT * FROM (VALUES {_sql_rows([(h,) for h in _HEADERS])}) UNION ALL SELECT unnest(string_split("text", chr(10))) FROM documents) SELECT h AS header, regexp_replace(regexp_replace(lower(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t]+', ' ', 'g'))),
   '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS header_key FROM t""")
 def normalize_header(spark, d):
-    return spark.createDataFrame([(h,) for h in _HEADERS], "header string").select("header", T.normalize_header(F.col("header")).alias("header_key"))
+    own = docs(spark, d).select(F.explode(F.split("text", "\n", -1)).alias("header"))
+    return spark.createDataFrame([(h,) for h in _HEADERS], "header string").unionByName(own).select("header", T.normalize_header(F.col("header")).alias("header_key"))
 
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(regexp_replace("text", '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9_]+') AS w FROM documents),
@@ -444,26 +455,6 @@ def source_content(spark, d):
     return maintenance.content_of(_turns(spark, d).where("chunk_index = 0"), "markdown/chat/3.md")
 
 
-@query()
-def split_chunk_text(spark, d):
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            parts = [split_text(x or "") for x in b.column(1).to_pylist()]
-            at = pa.array([k for k, p in enumerate(parts) for _ in p], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([x for p in parts for x in p], pa.string())], ["doc_id", "part", "content"])
-
-    return docs(spark, d).select("doc_id", "text").mapInArrow(run, "doc_id long, part int, content string")
-
-
-@query()
-def chunk_documents(spark, d):
-    """The topic chunker over whole documents."""
-    s = docs(spark, d).select(F.expr(PATH).alias("path"), T.content_hash(F.col("text")).alias("blob_sha"), F.col("text").alias("content"))
-    return chunk_rows(parse(s, "main", "all")).select("source_path", "chunk_type", "chunk_index", "title", "content", "content_hash")
-
-
 @query("SELECT doc_id, lang, length(\"text\") AS n, row_number() OVER (PARTITION BY lang ORDER BY length(\"text\"), doc_id) AS place FROM documents")
 def embedding_order(spark, d):
     """The order by length in which a language's texts are embedded."""
@@ -471,60 +462,6 @@ def embedding_order(spark, d):
     return docs(spark, d).select("doc_id", "lang", F.length("text").cast("bigint").alias("n"), F.row_number().over(w).cast("bigint").alias("place"))
 
 
-_API_DOC = """---
-title: Record API - Scoped
----
-# Record API
-
-Reads records.
-
-## Record - addFilter(String field)
-
-Adds a filter.
-
-|Name|Type|Description|
-|----|----|-----------|
-|field|String|A field|
-
-|Type|Description|
-|----|-----------|
-|Condition|Added|
-
-```js
-## Fake - no()
-```
-
-## Record - run()
-
-Runs.
-"""
-_TOPIC_DOC = "---\nproduct: P\n---\n# T\n\nintro\n\n## One\n\nfirst\n\n## Two\n\nsecond\n"
-_GLOSSARY_DOC = "# G\n\n### alpha\nfirst letter\n\n### beta\nsecond\nletter\n"
-
-
-def _chunked(spark, path: str, text: str) -> DataFrame:
-    s = spark.createDataFrame([(path, "sha", text)], "path string, blob_sha string, content string")
-    return chunk_rows(parse(s, "main", "rel"))
-
-
-@query("""SELECT * FROM (VALUES (0, 'overview', 'Record API', NULL), (1, 'method', 'Record', 'addFilter'), (2, 'parameter', 'Record', 'addFilter'), (3, 'returns', 'Record', 'addFilter'), (4, 'example', 'Record', 'addFilter'),
-  (5, 'method', 'Record', 'run')) AS t(chunk_index, chunk_type, object_name, method_name)""")
-def chunk_api_doc(spark, d):
-    return _chunked(spark, "markdown/api-reference/server-api-reference/c_RecordAPI.md", _API_DOC).select("chunk_index", "chunk_type", "object_name", "method_name")
-
-
-@query("""SELECT * FROM (VALUES (0, 'overview', NULL, 'Title: T' || chr(10) || 'Product: P' || chr(10) || 'Release: rel' || chr(10) || chr(10) || '# T' || chr(10) || chr(10) || 'intro'),
-  (1, 'section', 'One', 'Title: T' || chr(10) || 'Section: One' || chr(10) || 'Product: P' || chr(10) || 'Release: rel' || chr(10) || chr(10) || 'first'),
-  (2, 'section', 'Two', 'Title: T' || chr(10) || 'Section: Two' || chr(10) || 'Product: P' || chr(10) || 'Release: rel' || chr(10) || chr(10) || 'second')) AS t(chunk_index, chunk_type, heading, content)""")
-def chunk_topic_doc(spark, d):
-    return _chunked(spark, "markdown/product/t.md", _TOPIC_DOC).select("chunk_index", "chunk_type", "heading", "content")
-
-
-@query("""SELECT * FROM (VALUES (0, 'definition', 'alpha', 'first letter'), (1, 'definition', 'beta', 'second letter')) AS t(chunk_index, chunk_type, heading, meaning)""")
-def chunk_glossary(spark, d):
-    return _chunked(spark, "markdown/glossary/g.md", _GLOSSARY_DOC).select("chunk_index", "chunk_type", "heading", F.get_json_object("metadata", "$.definition").alias("meaning"))
-
-
 @query("""WITH n AS (SELECT doc_id, lang, length("text") AS n, row_number() OVER (PARTITION BY lang ORDER BY length("text"), doc_id) - 1 AS place FROM documents)
   SELECT lang, CAST(place // 32 AS BIGINT) AS batch, count(*) AS size, max(n) AS longest FROM n GROUP BY ALL""")
 def embedding_batches(spark, d):
