@@ -35,7 +35,7 @@ LIMIT, THRESHOLD, PER_SOURCE = 10, 0.3, 3
 SCHEMA_VERSION, SEARCH_SCHEMA_VERSION = 2, 6
 FAMILY = "australia"
 FAMILY_NAME = re.compile(r"^[a-z0-9][a-z0-9._-]*$")
-WINDOW_SOURCES, GROUP_CHUNKS = 128, 4000
+WINDOW_SOURCES = 128
 # ------------------------------------------------------------------------------------------------------------------------
 
 

@@ -182,7 +182,3 @@ def estimated_tokens(c: Column) -> Column:
 def embedding_text(c: Column, most: int | None) -> Column:
     """Cut to `most` characters (code points, so never inside one); no limit if it is not positive."""
     return c if most is None or most <= 0 else F.substring(c, 1, most)
-
-
-def fence_depth(line: Column) -> Column:
-    return F.startswith(trim(line), F.lit("```"))

@@ -32,12 +32,6 @@ def chunk_id(release: Column, path: Column, index: Column) -> Column:
     return F.xxhash64(release, path, index.cast("int"))
 
 
-def source_content(chunks: DataFrame, fallback: Column) -> DataFrame:
-    """(source_path, content): the first whole body among a source's chunks, else the fallback."""
-    body = F.get_json_object("metadata", "$.full_content")
-    return chunks.groupBy("source_path").agg(F.coalesce(F.min_by(body, F.when(body.isNotNull(), F.col("chunk_index"))), F.first(fallback)).alias("content"))
-
-
 def complete_sources(expected: DataFrame, embedded: DataFrame) -> DataFrame:
     """Paths of which every chunk has a vector; expected (path, n_chunks), embedded (path, ...) one row a vector. Sources
     without chunks are complete."""
@@ -45,11 +39,6 @@ def complete_sources(expected: DataFrame, embedded: DataFrame) -> DataFrame:
     return expected.join(got, "path", "left").where(F.coalesce("_got", F.lit(0)) == F.col("n_chunks")).select("path")
 
 
-def duplicate_chunks(chunks: DataFrame) -> DataFrame:
-    """Keys that are there more than once; an index has none."""
-    return chunks.groupBy("release", "source_path", "chunk_index").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 def update_counts(prepared: DataFrame, stored: DataFrame) -> DataFrame:
     """added, changed and chunks of the prepared sources (path, n_chunks)."""
     known = stored.select("path", F.lit(True).alias("_known"))
