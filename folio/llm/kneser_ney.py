@@ -12,7 +12,9 @@ of the quartile on that side, and further for short texts, whose averages scatte
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -110,24 +112,55 @@ def _table(order: int, low):
     return run
 
 
-def model_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, key, value): log10 probability of each gram in counts (lang, key, n_train)."""
+def model_table(counts: DataFrame, order: int = ORDER, block_rows: int = 1_000_000) -> DataFrame:
+    """(lang, key, value): log10 probability of each gram in counts (lang, key, n_train).
+
+    The two lowest orders of a language (258 * 258 rows at most) are broadcast; where there are very many languages, in
+    blocks of languages of about `block_rows` rows together.
+    """
     tail = F.shiftright("key", G.BITS).bitwiseAND(F.lit(int(G.mask(2))))
     grouped = counts.select("lang", "key", "n_train", tail.alias("tail"))
-    coc = grouped.groupBy("lang", "tail").applyInArrow(_counts_of_counts(order), "lang string, level int, c int, n long").groupBy("lang", "level", "c").agg(F.sum("n").alias("n")).collect()  # 4 rows an order and language
+    coc = grouped.groupBy("lang", "tail").applyInArrow(_counts_of_counts(order), "lang string, level int, c int, n long").groupBy("lang", "level", "c").agg(F.sum("n").alias("n"))
+    coc = written(coc, "kn-discounts")
     three = counts.where("n_train > 0").select("lang", F.col("key").bitwiseAND(F.lit(int(G.mask(3)))).alias("key")).distinct()
-    two = three.groupBy("lang", F.col("key").bitwiseAND(F.lit(int(G.mask(2)))).alias("key")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # 258 * 258 rows a language at most
+    two = written(three.groupBy("lang", F.col("key").bitwiseAND(F.lit(int(G.mask(2)))).alias("key")).agg(F.count(F.lit(1)).alias("n")), "kn-pairs")
+    blocks = max(1, math.ceil((two.count() + coc.count()) / block_rows))
+    tables = []
+    for k in range(blocks):
+        here = F.pmod(F.xxhash64("lang"), F.lit(blocks)) == k if blocks > 1 else F.lit(True)
+        low = counts.sparkSession.sparkContext.broadcast(_low_orders(two.where(here), coc.where(here), order))
+        tables.append(grouped.where(here).groupBy("lang", "tail").applyInArrow(_table(order, low), "lang string, key long, value float"))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _by_language(lang: pa.Array) -> list[tuple[str | None, np.ndarray]]:
+    """(language, its rows) of a column."""
+    d = lang.dictionary_encode()
+    number = d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
+    at = np.argsort(number, kind="stable")
+    names = [*d.dictionary.to_pylist(), None]
+    cut = np.searchsorted(number[at], np.arange(len(names) + 1))
+    return [(x, at[lo:hi]) for x, lo, hi in zip(names, cut[:-1], cut[1:], strict=True) if hi > lo]
+
+
+def _low_orders(two: DataFrame, coc: DataFrame, order: int) -> dict:
+    """By language: the two lowest orders, and the discounts of all."""
+    t = two.select("lang", "key", "n").toArrow().combine_chunks()
+    keys, n = (t.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+    seen: dict = defaultdict(dict)
+    for r in coc.collect():
+        seen[r.lang][r.level, r.c] = r.n
     low = {}
-    for lang in {r.lang for r in coc}:
-        rows = two[two["lang"].isna()] if lang is None else two[two["lang"] == lang]
-        key, n = G.totals(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
-        one = Level(key, n)
-        zero = Level(*G.totals(key & G.mask(1), np.ones(len(key), np.int64)))
-        by = {(r.level, r.c): r.n for r in coc if r.lang == lang}
+    for lang, at in _by_language(_whole(t.column(0))):
+        one = Level(*G.totals(keys[at], n[at]))
+        zero = Level(*G.totals(one.key & G.mask(1), np.ones(len(one.key), np.int64)))
         d = [discounts([int((x.n == c).sum()) for c in (1, 2, 3, 4)]) for x in (zero, one)]
-        d += [discounts([by.get((k, c), 0) for c in (1, 2, 3, 4)]) for k in range(2, order + 1)]
-        low[lang] = [zero, one], d
-    return grouped.groupBy("lang", "tail").applyInArrow(_table(order, counts.sparkSession.sparkContext.broadcast(low)), "lang string, key long, value float")
+        low[lang] = [zero, one], d + [discounts([seen[lang].get((k, c), 0) for c in (1, 2, 3, 4)]) for k in range(2, order + 1)]
+    return low
+
+
+def _whole(c) -> pa.Array:
+    return pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
 def rule_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -194,26 +227,31 @@ def _by_join(d: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return r.join(j, same(r, j, keys)).select(r["doc_id"], r["lang"], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "size", "total")
 
 
-def perplexity_rules(docs: DataFrame, order: int = ORDER, lower: float = 8.0, upper: float = 6.0, short: float = 200.0, most_rows: int = 16_000_000) -> DataFrame:
+def perplexity_rules(docs: DataFrame, order: int = ORDER, lower: float = 8.0, upper: float = 6.0, short: float = 200.0, most_rows: int = 16_000_000, most_languages: int = 10_000, block_rows: int = 1_000_000) -> DataFrame:
     """Per document row: doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, entropy
     (log10 a byte), low and high (the band for a text of this length), kept.
 
     Null and empty texts have no words and fail the base rule; a null language is a language. Repeated rows count, and are
-    judged, each; an empty table gives an empty one. Further columns of docs are left out. `most_rows` is the size of the
-    model up to which it is broadcast; beyond, grams are joined with it: it changes no result.
+    judged, each; an empty table gives an empty one. Further columns of docs are left out. `most_rows` and `most_languages`
+    are the size of the model up to which it is broadcast; beyond, grams are joined with it. They and `block_rows` (see
+    model_table) change no result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     counts = d.select("lang", "text").mapInArrow(_count(order), "lang string, key long, n_train long").groupBy("lang", "key").agg(F.sum("n_train").alias("n_train"))
     counts = written(counts, "kn-counts")
-    model = written(model_table(counts, order), "kn-model")
-    if model.count() <= most_rows:
+    model = written(model_table(counts, order, block_rows), "kn-model")
+    langs = model.select("lang").distinct()
+    if model.count() <= most_rows and langs.count() <= most_languages:
         # Languages travel as numbers: a row takes 16 bytes on the driver.
-        langs = [r.lang for r in model.select("lang").distinct().orderBy("lang").collect()]
-        number = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(x)), k) for k, x in enumerate(langs)], F.lit(-1)) if langs else F.lit(0)
-        lang, key, value = G.fetched(model.select(number.cast("int").alias("lang"), "key", "value"), [np.int32, np.int64, np.float32])
-        models = {x: G.Lookup(key[lang == k], value[lang == k]) for k, x in enumerate(langs)}
+        names = [r.lang for r in langs.collect()]
+        number = spark.createDataFrame(list(enumerate(names)), "number int, name string")
+        rows = model.join(F.broadcast(number), model["lang"].eqNullSafe(number["name"])).select("number", "key", "value")
+        lang, key, value = G.fetched(rows, [np.int32, np.int64, np.float32])
+        at = np.argsort(lang, kind="stable")
+        cut = np.searchsorted(lang[at], np.arange(len(names) + 1))
+        models = {x: G.Lookup(key[at[lo:hi]], value[at[lo:hi]]) for x, lo, hi in zip(names, cut[:-1], cut[1:], strict=True)}
         out = d.mapInArrow(_score(order, spark.sparkContext.broadcast(models)), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, total double")
     else:
         out = _by_join(d, model, order)

@@ -469,6 +469,60 @@ def test_kneser_ney_is_a_distribution_and_joins_agree(docs):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
 
+def kn_entropy(texts, order):
+    """log10 a byte of each text of one language, under interpolated modified Kneser-Ney, by dictionaries of tuples."""
+    padded = [[-1] * order + list(t) + [256] for t in texts]
+    count = [{} for _ in range(order)] + [collections.Counter(tuple(s[i - order : i + 1]) for s in padded for i in range(order, len(s)))]
+    for k in range(order - 1, -1, -1):
+        count[k] = collections.Counter(g[1:] for g in count[k + 1])
+    total, taken = [collections.Counter() for _ in count], [collections.Counter() for _ in count]
+    cut = []
+    for k, grams_of in enumerate(count):
+        n1, n2, n3, n4 = (sum(v == c for v in grams_of.values()) for c in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        cut.append([0.0] + [min(max(x, 0.0), c + 0.9) for c, x in enumerate(d)])
+        for g, c in grams_of.items():
+            total[k][g[:-1]] += c
+            taken[k][g[:-1]] += cut[k][min(c, 3)]
+    out = []
+    for s in padded:
+        log = 0.0
+        for i in range(order, len(s)):
+            p = 1 / grams.END
+            for k in range(order + 1):
+                g = tuple(s[i - k : i + 1])
+                if total[k][g[:-1]]:
+                    c = count[k][g]
+                    p = (c - cut[k][min(c, 3)]) / total[k][g[:-1]] + taken[k][g[:-1]] / total[k][g[:-1]] * p
+            log += math.log10(p)
+        out.append(-log / (len(s) - order))
+    return out
+
+
+def test_perplexity_verdicts_at_every_size(spark):
+    r = random.Random(11)
+    made = [(k, " ".join(words(r, r.randint(200, 300))), [None, "aa", "bb"][k % 3]) for k in range(90)]
+    made += [(90 + k, " ".join("".join(chr(r.randint(33, 126)) for _ in range(6)) for _ in range(60)), [None, "aa", "bb"][k]) for k in range(3)]
+    made += [(93 + k, "ba ko", f"rare{k}") for k in range(12)] + [(105, None, "aa"), (106, "", "only"), (None, made[4][1], "aa"), made[5], made[5]]
+    want = collections.Counter()
+    for lang in {x[2] for x in made}:
+        here = [x for x in made if x[2] == lang]
+        text_of = [(t or "").encode() for _, t, _ in here]
+        e = kn_entropy(text_of, 3)
+        long = [len((t or "").split()) >= 50 for _, t, _ in here]
+        good = sorted(x for x, ok in zip(e, long, strict=True) if ok)
+        q1, q2, q3 = (good[math.ceil(len(good) * p) - 1] for p in (0.25, 0.5, 0.75)) if good else (0, 0, 0)
+        for (i, _, _), t, x, ok in zip(here, text_of, e, long, strict=True):
+            wider = math.sqrt(1 + 200 / (len(t) + 1))
+            want[i, lang, round(x, 4), ok and q2 - 8 * wider * max(q2 - q1, 0.002) <= x <= q2 + 6 * wider * max(q3 - q2, 0.002)] += 1
+    assert [k[0] for k in want if k[0] in (90, 91, 92) and k[3]] == [] and sum(n for k, n in want.items() if k[3]) > 85
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(4)
+    for sizes in ({}, {"most_rows": 0}, {"most_languages": 3, "block_rows": 150}):
+        got = kneser_ney.perplexity_rules(d, order=3, **sizes).collect()
+        assert collections.Counter((x.doc_id, x.lang, round(x.entropy, 4), x.kept) for x in got) == want, sizes
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
