@@ -36,13 +36,18 @@ def _in_range(name: str, value: Any, low: float, high: float, whole: bool) -> No
 
 
 class Engine:
-    """An index in `root`, with one embedding provider for documents and queries."""
+    """An index in `root`, with one embedding provider for documents and queries.
 
-    def __init__(self, spark: SparkSession, root: str, provider=None, profile: str | None = None, oversample: int = OVERSAMPLE, collection: Collection = Collection()):
+    Without `embeds` the provider isn't held against the index: for reading and for a reset.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, provider=None, profile: str | None = None, oversample: int = OVERSAMPLE, collection: Collection = Collection(), embeds: bool = True):
         _in_range("oversample", oversample, *OVERSAMPLE_RANGE, True)
         self.spark, self.provider, self.profile, self.oversample, self.collection = spark, provider or HashProvider(), profile, oversample, collection
         self.store = IndexStore(spark, root)
-        self.store.check(self._configuration())
+        self.embeds = embeds
+        if embeds:
+            self.store.check(self._configuration())
 
     def _configuration(self) -> dict[str, Any]:
         p = self.provider
@@ -141,8 +146,8 @@ class Engine:
 
     def status(self) -> dict[str, Any]:
         s = maintenance.stats(self.store.table("sources"), self.store.table("chunks")).first()
-        device = getattr(self.provider, "device", None)
-        return s.asDict() | {"manifest": self.store.manifest(), "embedding": self._configuration() | {"device": device}}
+        embedding = self._configuration() | {"device": getattr(self.provider, "device", None)} if self.embeds else None
+        return s.asDict() | {"manifest": self.store.manifest(), "embedding": embedding}
 
     def reset(self, yes: bool = False) -> None:
         self.store.reset(yes)

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 
 from folio import cli
@@ -178,3 +179,45 @@ def test_tree_cli_and_stream(spark, tmp_path, capsys):
     q = stream_tree(e, str(tree), str(tmp_path / "c"), "alpha", files_per_batch=1)
     q.awaitTermination(120)
     assert e.status()["documents"] == 3
+
+
+def counting_model(profile, dtype, threads):
+    return lambda device: lambda texts: np.array([[len(t), *(t.count(c) for c in "abcdefg"), 1] + [0] * (profile.dimensions - 9) for t in texts], float)
+
+
+def test_cli_providers(spark, tmp_path, monkeypatch):
+    parse = lambda *a: cli.parser().parse_args([*a, "status"])
+    p, name = cli.provider_for(parse())
+    assert (p.name, p.dimensions, name) == ("deterministic-hash", 64, None) and cli.provider_for(parse(), None, 12)[0].dimensions == 12
+    loader = f"{__name__}:counting_model"
+    p, name = cli.provider_for(parse("--embedding-loader", loader, "--embedding-profile", "nomic-embed-text-v1.5", "--embedding-dimensions", "128", "--embedding-dtype", "q8", "--embedding-max-characters", "300"))
+    assert (name, p.dimensions, p.dtype, p.max_characters, p.query_prefix) == ("nomic-embed-text-v1.5", 128, "q8", 300, "search_query: ")
+    assert cli.provider_for(parse("--embedding-loader", loader), "all-minilm-l6-v2", 384)[0].dimensions == 384
+    assert cli.provider_for(parse("--embedding-loader", loader, "--deterministic-embeddings"))[1] is None
+    endpoint = ["--embedding-endpoint", "https://host/v1", "--embedding-endpoint-model", "m"]
+    for bad, told in (
+        (["--embedding-profile", "nomic-embed-text-v1"], "loader"),
+        (["--embedding-loader", "nothing"], "MODULE:FUNCTION"),
+        (["--embedding-loader", loader, "--embedding-dimensions", "9"], "dimensions"),
+        (endpoint[:2], "together"),
+        ([*endpoint, "--embedding-api-key-env", "not a name"], "name of an environment"),
+        ([*endpoint, "--embedding-api-key-env", "NOT_SET_ANYWHERE"], "is not set"),
+    ):
+        with pytest.raises(ValueError, match=told):
+            cli.provider_for(parse(*bad))
+    monkeypatch.setenv("EMBEDDING_API_KEY", "k")
+    p, _ = cli.provider_for(parse(*endpoint, "--embedding-loader", loader, "--embedding-endpoint-batch-size", "7", "--embedding-endpoint-timeout", "9"))
+    assert (p.endpoint_model, p.api_key, p.batch_size, p.concurrency, p.timeout, p.dimensions, p.pooling) == ("m", "k", 7, 4, 9.0, 384, "mean")
+
+
+def test_cli_with_a_model(spark, tmp_path):
+    tree, d = tmp_path / "tree", str(tmp_path / "d")
+    write_tree(tree, PATHS)
+    own = lambda *a: cli.run(cli.parser().parse_args(["--data-dir", d, *a]), spark)
+    loader = ["--embedding-loader", f"{__name__}:counting_model"]
+    assert own(*loader, "update", "--tree", str(tree), "--family", "alpha")["added"] == 3
+    assert len(own(*loader, "search", "record add filter", "--limit", "2", "--threshold", "-1")) == 2
+    with pytest.raises(ValueError, match="provider"):
+        own("search", "record")
+    assert own("status")["documents"] == 3 and own("get", next(iter(PATHS)), "--family", "alpha")
+    assert own("reset-index", "--yes") == {"reset": True}
