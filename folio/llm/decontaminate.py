@@ -46,7 +46,7 @@ def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
 
 def _indexed(docs: DataFrame, windows: DataFrame, block: int) -> DataFrame:
     """Windows with their rarest word and its offset; rarity is the count of the word over all documents."""
-    vocab = written(windows.select(F.explode("window").alias("token")).distinct(), "decon-vocab")
+    vocab = written(windows.select(F.explode("window").alias("token")).distinct(), "decon-vocab", narrow=True)
     parts = -(-vocab.count() // block) or 1
     counts = None
     for k in range(parts):
@@ -69,7 +69,7 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = 13, block: int =
     start null. Null or empty texts have no words; items without words have no windows; repeated rows repeat their rows.
     """
     # The windows are few, so each of the two small joins stays small; the table cuts the lineage before the second scan.
-    indexed = written(_indexed(docs, written(item_windows(items, width), "decon-windows"), block), "decon-index")
+    indexed = written(_indexed(docs, written(item_windows(items, width), "decon-windows", narrow=True), block), "decon-index", narrow=True)
     parts = -(-indexed.count() // block) or 1
     out = None
     for k in range(parts):
